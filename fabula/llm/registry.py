@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabula.llm import ann, chat, decontaminate, html_text, neardup, shards, toxicity
+import corpus_pipeline
+from fabula.llm import ann, chat, decontaminate, html_text, licenses, lm, neardup, packing, shards, toxicity
 from fabula.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(table(spark, sf_dir, "conversations"))
 
@@ -28,6 +33,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(table(spark, sf_dir, "documents"))
 
@@ -36,14 +45,21 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_chat, op4_shards, op5_html, op7_neardup, op8_nearest, op10_toxicity)}
+    numbered = (
+        op1_decontaminate, op2_licenses, op3_chat, op4_shards, op5_html, op6_language_model, op7_neardup, op8_nearest, op9_packing, op10_toxicity)
+    return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_chat": chat.ORACLE, "op7_neardup": neardup.ORACLE}
+    named = {"op1_decontaminate": decontaminate.ORACLE, "op2_licenses": licenses.oracle(), "op3_chat": chat.ORACLE, "op7_neardup": neardup.ORACLE}
+    return named | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,25 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: The modules that register queries.
+FAMILIES = ("style_plans",)
+
+
+def _registered() -> None:
+    for name in FAMILIES:
+        importlib.import_module(f"fabula.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return QUERIES
 
 
 def oracles() -> dict[str, str]:
+    _registered()
     return ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    """Lexical repetition over the documents."""
+    return queries()["lexical_repetition"](spark, sf_dir)

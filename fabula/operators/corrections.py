@@ -77,7 +77,8 @@ def references(docs: DataFrame) -> DataFrame:
 def without_overlaps(spans: DataFrame) -> DataFrame:
     """Spans (doc_id, start, stop) from left to right: of two that overlap, the longer one stays and takes the last one's place.
 
-    An ordered fold over a document's spans, as chains of overlaps can't be decided pair by pair; a task holds one document's numbers."""
+    An ordered fold, as chains of overlaps can't be decided pair by pair. A document is cut where a span starts at or after all earlier
+    stops, as the fold starts anew there; only the spans between two cuts are held together."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[int, int]] = []
@@ -89,4 +90,7 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(kept), "start": [s for s, _ in kept], "stop": [e for _, e in kept]})
 
     rows = spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).filter("start is not null and stop is not null")
-    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, start long, stop long")
+    w = Window.partitionBy("doc_id").orderBy("start", "stop")
+    cut = (F.col("start") >= F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("long")
+    islands = rows.withColumn("cut", cut).withColumn("island", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    return islands.groupBy("doc_id", "island").applyInPandas(fold, "doc_id long, start long, stop long")

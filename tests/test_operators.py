@@ -130,3 +130,34 @@ def test_operators_on_empty_and_null_texts(spark):
 def test_overlapping_spans_keep_the_longer(spark):
     rows = spark.createDataFrame([(1, 0, 5), (1, 3, 12), (1, 11, 13), (1, 13, 14), (2, 0, 1), (2, None, 3)], "doc_id long, start long, stop long")
     assert sorted(tuple(r) for r in corrections.without_overlaps(rows).collect()) == [(1, 3, 12), (1, 13, 14), (2, 0, 1)]
+
+
+def test_folds_of_one_hot_key_are_spread(spark):
+    g = random.Random(2)
+    rows = [(1, "t", i, i, g.random() < 0.4) for i in range(4000)]
+    df = spark.createDataFrame(rows, "project_id long, alert_type string, ts long, alert_id long, dismissed boolean").repartition(4)
+    w = 1.0
+    for r in rows:
+        w = round(max(0.1, min(1.0, w + (-0.05 if r[4] else 0.025))), 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = alerts.adaptive_weights(df)
+        assert tuple(got.first()) == (1, "t", w, 4000, sum(r[4] for r in rows))
+        parts = df.select("project_id", "alert_type", "ts", "alert_id", "dismissed").repartitionByRange("project_id", "alert_type", "ts").sortWithinPartitions("ts").mapInArrow(alerts._clamped_sums(0.05), "project_id long, alert_type string, part long, shift long, low long, high long, n long, gone long").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(parts) > 1 and sum(p.n for p in parts) == 4000 and max(p.n for p in parts) < 3000
+
+
+def test_span_folds_hold_one_island(spark):
+    g = random.Random(3)
+    rows = [(1, a, a + g.randrange(1, 9)) for a in (g.randrange(3000) for _ in range(600))]
+    kept = []
+    for start, stop in sorted(r[1:] for r in rows):
+        if not kept or start >= kept[-1][1]:
+            kept.append((start, stop))
+        elif stop - start > kept[-1][1] - kept[-1][0]:
+            kept[-1] = (start, stop)
+    out = corrections.without_overlaps(spark.createDataFrame(rows, "doc_id long, start long, stop long"))
+    assert sorted((r.start, r.stop) for r in out.collect()) == kept
+    assert "island" in out._jdf.queryExecution().optimizedPlan().toString()

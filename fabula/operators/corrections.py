@@ -78,7 +78,7 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
     """Spans (doc_id, start, stop) from left to right: of two that overlap, the longer one stays and takes the last one's place.
 
     An ordered fold, as chains of overlaps can't be decided pair by pair. A document is cut where a span starts at or after all earlier
-    stops, as the fold starts anew there; only the spans between two cuts are held together."""
+    stops, as the fold starts anew there; a task holds an island, or short ones together."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[int, int]] = []
@@ -91,6 +91,8 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
 
     rows = spans.select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).filter("start is not null and stop is not null")
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
-    cut = (F.col("start") >= F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("long")
-    islands = rows.withColumn("cut", cut).withColumn("island", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    first = F.coalesce(F.col("start") >= F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    # islands by the number of their first span, some 10 000 spans of short ones together
+    begun = rows.withColumn("begin", F.when(first, F.row_number().over(w)))
+    islands = begun.withColumn("island", F.floor(F.max("begin").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 10_000))
     return islands.groupBy("doc_id", "island").applyInPandas(fold, "doc_id long, start long, stop long")

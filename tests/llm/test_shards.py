@@ -1,5 +1,8 @@
+import random
 import zlib
 
+import numpy as np
+
 from fabula.llm import shards
 
 SCHEMA = "doc_id long, text string, key string, pool int"
@@ -26,5 +29,37 @@ def test_balance_groups_and_slots(spark):
     assert got.sort_values(key)[key].reset_index(drop=True).equals(again.sort_values(key)[key].reset_index(drop=True))
 
 
+def test_all_dimensions_are_balanced_jointly(spark):
+    g = random.Random(5)
+    data = [(i, " ".join("x" * g.choice((1, 2, 30)) for _ in range(g.randrange(1, 60))) + f" {i}", "k", i) for i in range(3000)]
+    got = shards.shard(spark.createDataFrame(data, SCHEMA)).toPandas()
+    by = got.groupby("shard").agg(size=("size", "sum"), n_tokens=("n_tokens", "sum"), n=("slot", "count"))
+    for c in by:
+        assert by[c].max() <= 1.03 * by[c].mean() and by[c].min() >= 0.97 * by[c].mean()
+
+
+def test_placement_against_brute_force():
+    """The greedy placement by dot products, one weight and one shard at a time; moves and exchanges never worsen it."""
+    g = np.random.default_rng(1)
+    for n in (3, 60):
+        w = g.integers(1, 50, (n, 3)).astype(float)
+        unit = w / w.sum(axis=0)
+        left, out = [[0.25] * 3 for _ in range(4)], [0] * n
+        for i in sorted(range(n), key=lambda i: -unit[i][0]):
+            room = [s for s in range(4) if left[s][0] >= unit[i][0]]
+            out[i] = max(room, key=lambda s: (sum(a * b for a, b in zip(left[s], unit[i])), -s)) if room else max(range(4), key=lambda s: (left[s][0], -s))
+            left[out[i]] = [a - b for a, b in zip(left[out[i]], unit[i])]
+        spread = lambda o: sum(((unit[np.asarray(o) == s].sum(axis=0) - 0.25) ** 2 * [4, 1, 1]).sum() for s in range(4))
+        assert spread(shards._place(w, 4)) <= spread(out) + 1e-12
+        assert shards._evened(unit * [2.0, 1, 1], np.array(out), 4).tolist() == shards._place(w, 4).tolist()
+
+
+def test_a_hot_repeated_row_is_split(spark):
+    data = [(1, "same row", "k", 1)] * 4000 + [(i, f"t{i}", "k", 1) for i in range(2, 500)]
+    got = shards.digest(spark.createDataFrame(data, SCHEMA)).toPandas()
+    by = got.groupby("shard")["size"].sum()
+    assert len(by) == 24 and by.max() < 1.1 * by.mean() and not got.duplicated(["shard", "slot"]).any()
+
+
 def test_empty(spark):
     assert shards.digest(spark.createDataFrame([], SCHEMA)).count() == 0

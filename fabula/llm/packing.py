@@ -8,14 +8,15 @@ a bin either, as they share its cluster.
 
 A source with more pieces than there are mean bins would leave bins half empty, so it is dealt by hash into as many
 sub-sources as its share of a mean bin asks for, and a bin takes one piece of each sub-source. All others stand at most once in a
-bin. Clusters are exact copies of a text (`text_key`); near copies are not looked for here.
+bin. Duplicate clusters are near-duplicate groups where `clusters` gives them (op9_packing passes those of `neardup.groups` on
+five-word shingles), else exact copies of a text: the pipeline packs what near-duplicate removal has left, one text of each group.
 
 Pieces are dealt by hash into groups of about `GROUP` and each group is packed on its own in one task: groups don't grow with the
 corpus, copies of a text spread over all groups, and at most the last bins of a group stay open. Only counts reach
 the driver.
 
 Defined cases: a null or empty text is one piece of the end token; a null source conflicts with nothing; a null
-doc_id is packed like others; repeated rows are packed each, and as one cluster never share a bin; an empty table
+doc_id is packed like others, by its text's cluster; ties in size go by cluster, doc_id and piece, ties in residual to the older bin; a very long text is cut into more pieces; repeated rows are packed each, and as one cluster never share a bin; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -69,18 +70,23 @@ def _numbers(values: list) -> list[int | None]:
     return [None if v is None else seen.setdefault(v, len(seen)) for v in values]
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, source, cluster, piece, first_token, n_tokens, n_pieces: the pieces of every document."""
+def pieces(docs: DataFrame, capacity: int, clusters: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, cluster, piece, first_token, n_tokens: the pieces of every document."""
     n = F.size(words(F.col("text"))) + 1
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_key(F.col("text")).alias("cluster"), n.alias("n"))
+    if clusters is not None:
+        named = clusters.filter("n_shingles > 0 and component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"))
+        rows = rows.join(named, "doc_id", "left").withColumn("cluster", F.coalesce(F.concat(F.lit("g"), F.col("component").cast("string")), "cluster")).drop("component")
     cut = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))))
     first = F.col("piece") * capacity
     return cut.select("doc_id", "source", "cluster", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("n") - first).alias("n_tokens"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """A row for each piece: bin_id, start (its place in the bin), doc_id, piece, first_token, n_tokens, source, cluster."""
-    cut = written(pieces(docs, capacity))
+def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, clusters: DataFrame | None = None) -> DataFrame:
+    """A row for each piece: bin_id, start (its place in the bin), doc_id, piece, first_token, n_tokens, source, cluster.
+
+    clusters: doc_id, n_shingles, component_id of near-duplicate groups, if they are to count as clusters."""
+    cut = written(pieces(docs, capacity, clusters))
     total, tokens = cut.agg(F.count("*"), F.sum("n_tokens")).first()
     groups = max(1, -(-total // group))
     per_bin = capacity * total / max(tokens or 0, 1)

@@ -46,7 +46,8 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, clusters=neardup.groups(docs, size=5))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from fabula.llm import packing
+from fabula.llm import neardup, packing
 
 SCHEMA = "doc_id long, text string, source string, bin_id int"
 
@@ -37,6 +37,34 @@ def test_only_sources_that_need_it_stand_twice_in_a_bin(spark):
     assert not got[got["source"] != "big"].duplicated(["bin_id", "source"]).any()
 
 
+def test_bins_are_those_of_brute_force():
+    g = random.Random(6)
+    n = 400
+    sizes, sources, clusters = [g.randrange(1, 60) for _ in range(n)], [g.choice([None, *range(20)]) for _ in range(n)], [g.randrange(150) for _ in range(n)]
+    room, held, want = [], [], [0] * n
+    for i in sorted(range(n), key=lambda i: -sizes[i]):
+        fits = [b for b in range(len(room)) if room[b] >= sizes[i] and clusters[i] not in held[b][1] and (sources[i] is None or sources[i] not in held[b][0])]
+        if fits:
+            want[i] = min(fits, key=lambda b: (room[b], b))
+        else:
+            want[i] = len(room)
+            room.append(100)
+            held.append((set(), set()))
+        room[want[i]] -= sizes[i]
+        held[want[i]][0].add(sources[i])
+        held[want[i]][1].add(clusters[i])
+    assert packing.best_fit(sizes, sources, clusters, 100)[0] == want
+
+
+def test_near_copies_never_share_a_bin(spark):
+    base = [f"w{i}" for i in range(40)]
+    docs = [(k, " ".join([*base[:39], f"x{k}"]), f"s{k}", 1) for k in range(12)] + [(100 + k, f"other {k}", f"s{k}", 1) for k in range(12)] + [(None, " ".join(base), None, 1), (3, "again", "s", 1)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = packing.pack(df, capacity=100, clusters=neardup.groups(df, size=5)).toPandas()
+    assert len(got) == len(docs) and not got.duplicated(["bin_id", "cluster"]).any()
+    assert got[got["doc_id"].lt(12) & got["n_tokens"].gt(30)]["cluster"].nunique() == 1
+
+
 def test_successor_search():
     bins, starts = packing.best_fit([6, 5, 4, 3], [0, 1, 0, None], [0, 1, 2, 1], 10)
     assert bins == [0, 1, 1, 0] and starts == [0, 0, 5, 6]

@@ -2,18 +2,21 @@
 
 STOP_WORDS = "el la los las un una unos unas de del al a en con por para sin sobre que y o u e ni no se su sus lo le les me te mi tu es era fue ser ha the of and to in is that it for was with be on as at by this are from or an".split()
 GLUE_WORDS = STOP_WORDS + "muy ya como si pero más este esta esto ese esa eso aquel aquella he him her his they them you we not but have had which der die das und ein eine zu von le les des et du est".split()
-FILLERS = ("bueno", "pues", "o sea", "es decir", "la verdad", "de hecho", "en plan", "you know", "i mean", "of the", "in the", "to the")
-SENSES = {"sight": ("luz", "color", "ver", "mira"), "hearing": ("ruido", "voz", "grito", "or"), "touch": ("piel", "frío", "mano", "the"), "smell": ("olor", "aroma", "ha"), "taste": ("sabor", "dulce", "es")}
-FIRST_PERSON = ("yo", "me", "mi", "mis", "nosotros", "on")
-SECOND_PERSON = ("tú", "tu", "te", "usted", "the")
-THIRD_PERSON = ("él", "ella", "ellos", "su", "sus", "he", "of")
-POSITIVE = ("feliz", "alegre", "bien", "amor", "an", "er")
-NEGATIVE = ("triste", "mal", "odio", "miedo", "the", "st")
-ACTION = ("corrió", "saltó", "golpeó", "gritó", "ing", "ed")
-REGIONAL = {"coche": "es", "carro": "mx", "ordenador": "es", "computadora": "mx", "of": "uk", "and": "us"}
-CONFUSED = (("haber", "a ver"), ("halla", "haya"), ("to", "in"))
-NUMBER_WORDS = {"un": 1, "una": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10}
-UNIT_DAYS = {"hora": 0.0417, "día": 1.0, "semana": 7.0, "mes": 30.0, "año": 365.0}
-OPPOSITE_TONES = (("hostile", "affectionate"), ("cold", "warm"))
+FILLERS = ("bueno", "pues", "o sea", "es decir", "la verdad", "de hecho", "en plan", "sin más", "en realidad", "al fin y al cabo", "you know", "i mean", "sort of", "kind of", "as it were")
+SENSES = {
+    "sight": ("luz", "color", "ver", "mira", "brill", "sombra", "look", "see", "light"), "hearing": ("ruido", "voz", "grito", "sonid", "silenci", "hear", "sound", "noise"),
+    "touch": ("piel", "frío", "mano", "suave", "áspero", "touch", "cold", "warm"), "smell": ("olor", "aroma", "perfume", "hedor", "smell", "scent"), "taste": ("sabor", "dulce", "amargo", "salado", "taste", "sweet")}
+FIRST_PERSON = ("yo", "me", "mi", "mis", "mí", "conmigo", "nosotros", "nosotras", "nos", "nuestro", "nuestra", "i", "my", "we", "our")
+SECOND_PERSON = ("tú", "tu", "tus", "te", "ti", "contigo", "usted", "ustedes", "vosotros", "vuestro", "you", "your")
+THIRD_PERSON = ("él", "ella", "ellos", "ellas", "su", "sus", "le", "les", "he", "she", "they", "his", "her", "their")
+POSITIVE = ("feliz", "alegre", "bien", "amor", "gracias", "genial", "sonri", "happy", "good", "thank", "great", "love")
+NEGATIVE = ("triste", "mal", "odio", "miedo", "rabia", "horrible", "llor", "sad", "bad", "hate", "fear", "wrong")
+ACTION = ("corrió", "saltó", "golpeó", "gritó", "disparó", "huyó", "atacó", "cayó", "lanzó", "ran", "jumped", "hit", "shouted", "fell", "threw")
+REGIONAL = {"coche": "es", "ordenador": "es", "móvil": "es", "zumo": "es", "carro": "mx", "computadora": "mx", "celular": "mx", "jugo": "mx", "colour": "uk", "lorry": "uk", "flat": "uk", "color": "us", "truck": "us", "apartment": "us"}
+CONFUSED = (("haber", "ver"), ("halla", "haya"), ("echo", "hecho"), ("tubo", "tuvo"), ("valla", "vaya"), ("votar", "botar"), ("their", "there"), ("affect", "effect"))
 PERIODS = (("antigüedad", -3000, 476), ("edad media", 476, 1492), ("edad moderna", 1492, 1789), ("siglo xix", 1800, 1900), ("siglo xx", 1900, 2000), ("contemporánea", 1789, 2100))
-EARLIEST_YEAR = {"teléfono": 1876, "televisión": 1927, "internet": 1983, "reloj": 1300, "tren": 1804}
+NUMBER_WORDS = {
+    "un": 1, "una": 1, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10, "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15,
+    "veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "algunos": 3, "varios": 3, "pocos": 2, "muchos": 10}
+UNIT_DAYS = {"día": 1.0, "semana": 7.0, "mes": 30.0, "año": 365.0, "hora": 0.042}
+EARLIEST_YEAR = {"teléfono": 1876, "televisión": 1927, "internet": 1983, "tren": 1804, "automóvil": 1886, "avión": 1903, "radio": 1895, "ordenador": 1941, "fotografía": 1839, "telégrafo": 1837}

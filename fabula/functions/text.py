@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Spanish letters, written out: \\w is ASCII in Java's patterns.
 LETTERS = "a-záéíóúüñA-ZÁÉÍÓÚÜÑ"
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyzáéíóúüñ", "ABCDEFGHIJKLMNOPQRSTUVWXYZÁÉÍÓÚÜÑ"
 ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇ"
 PLAIN = "aaaaaeeeeiiiiooooouuuucAAAAAEEEEIIIIOOOOOUUUUC"
 #: Speech between dashes, guillemets or quotes, as one alternation: the earliest mark wins.
@@ -31,9 +32,18 @@ def word_list(text: Column) -> Column:
     return F.array_remove(F.split(empty_as(text), f"[^{LETTERS}]+"), "")
 
 
-def sentences(text: Column) -> Column:
-    """Runs that end in . ! or ? within a line; text without a final mark is no sentence."""
-    return F.transform(F.regexp_extract_all(empty_as(text), F.lit(r"[^.!?\n]+[.!?]+"), F.lit(0)), lambda s: F.trim(s))
+#: White space that is trimmed from sentences, and a mark that stands at their ends while a text is split.
+SPACE, END = " \t\n\x0b\f\r", "\x01"
+
+
+def sentences(text: Column, least_tail: int = 10) -> Column:
+    """The sentences of a text: each ends with marks before white space, a closing quote or bracket, or the end; a tail without a mark counts from least_tail characters on.
+
+    Ends are marked in one pass and the text is split there, so that a long run without marks is read once."""
+    plain = F.translate(empty_as(text), END, " ")
+    parts = F.split(F.regexp_replace(plain, r"((?<![.!?])[.!?]++(?:\s|\z|[\"')»]))", "$1" + END), END)
+    trimmed = F.transform(parts, lambda s: F.btrim(s, F.lit(SPACE)))
+    return F.filter(trimmed, lambda s, i: (s != "") & ((F.length(s) >= least_tail) | (i < F.size(parts) - 1)))
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
@@ -42,8 +52,12 @@ def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of n characters, in order. The text is split into characters once, as reaching into a string costs its length."""
+    chars = F.split(text, "")
+    out = F.slice(chars, F.lit(1), F.length(text) - n + 1)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(chars, F.lit(k), F.length(text) - n + 1), lambda a, b: F.concat(a, b))
+    return F.when(F.length(text) >= n, F.array_distinct(out)).otherwise(F.array().cast("array<string>"))
 
 
 def syllables(word: Column) -> Column:
@@ -54,6 +68,14 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(w) == 0, 0).otherwise(F.greatest(F.lit(1), groups + hiatus)).cast("long")
 
 
+def text_syllables(text: Column) -> Column:
+    """The syllables of all words of a text, counted as by `syllables` but in three passes over the text: vowels outside words there are none."""
+    low = F.translate(empty_as(text), UPPER, LOWER)
+    count = lambda p: F.regexp_count(low, F.lit(p))
+    without = count(f"(?<![{LOWER}])[bcdfghjklmnpqrstvwxyzñ]++(?![{LOWER}])")  # words without a vowel have one
+    return (count("[aeiouáéíóúü]++") + count("[aeoáéó](?=[aeoáéó])") + without).cast("long")
+
+
 def without_dialogue(text: Column) -> Column:
     return F.regexp_replace(empty_as(text), DIALOGUE, " ")
 

@@ -17,15 +17,15 @@ RULES = {
     "laismo": _B + "la (?:dije|di|dio|pegó|regaló)" + _E,
     "loismo": _B + "lo (?:dije|di|dio|pegó|regaló) (?:un|una|el|la)" + _E,
     "habemos": _B + "habemos" + _E,
-    "redundancy": _B + "(?:subir arriba|bajar abajo|entrar adentro|salir afuera|the the|of of)" + _E,
+    "redundancy": _B + "(?:subir arriba|bajar abajo|entrar adentro|salir afuera|volver a repetir)" + _E,
     "gerund_of_sequence": "[a-zñ](?:ó|aron|ieron), [a-zñ]+(?:ando|iendo)" + _E,
     "feminine_stressed_a": _B + "la (?:agua|alma|arma|hacha|águila)" + _E,
     "number_agreement": _B + "(?:los|las|unos|unas) [a-zñ]{2,}[aeo]" + _E,
-    "anglicism": _B + "(?:feedback|marketing|online|email|link|software|thing)" + _E,
+    "anglicism": _B + "(?:feedback|marketing|online|email|link|software)" + _E,
     "double_mark": "[,;:] ?[,;:]",
     "quote_after_stop": "[.]\"",
 }
-VARIANTS = {"setiembre": "septiembre", "obscuro": "oscuro", "substancia": "sustancia", "the": "The", "ionand": "ion and"}
+VARIANTS = {"setiembre": "septiembre", "obscuro": "oscuro", "substancia": "sustancia", "sicología": "psicología", "harmonía": "armonía", "trasparente": "transparente"}
 
 
 def rule_counts(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:

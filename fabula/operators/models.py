@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions import text as T
 from fabula.operators.joins import band_join
+from fabula.operators.story import alike_names
 
 
 def entity_filter(entities: DataFrame, system: DataFrame, rejected: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -30,14 +31,19 @@ def resolved_config(rows: DataFrame) -> DataFrame:
 
 
 def link_suggestions(entities: DataFrame, linked: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Entities of one type in different books (book, entity_id, name, entity_type) with equal names or trigram Jaccard of the threshold, links that exist left out."""
-    e = entities.withColumn("norm", T.normalize_name(F.col("name"))).withColumn("grams", T.char_ngrams(F.col("norm"), 3))
-    g = e.select("book", "entity_id", "entity_type", "norm", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    a = g.select(F.col("book").alias("book_a"), F.col("entity_id").alias("a"), "entity_type", F.col("norm").alias("x"), F.col("size").alias("na"), "gram")
-    b = g.select(F.col("book").alias("book_b"), F.col("entity_id").alias("b"), "entity_type", F.col("norm").alias("y"), F.col("size").alias("nb"), "gram")
-    pairs = a.join(b, ["entity_type", "gram"]).filter("book_a < book_b").groupBy("a", "b", "x", "y", "na", "nb").agg(F.count("*").alias("k"))
-    score = F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6))
-    return pairs.select("a", "b", score.alias("score")).filter(F.col("score") >= threshold).join(linked, ["a", "b"], "left_anti")
+    """Entities of one type in different books (book, entity_id, name, entity_type) with equal names or trigram Jaccard of the threshold, links that exist left out.
+
+    A name that a book has several times counts once, for its first entity: names are compared, n_a and n_b say how many entities bear them."""
+    c = entities.groupBy("book", "entity_type", T.normalize_name(F.col("name")).alias("norm")).agg(F.min("entity_id").alias("id"), F.count("*").alias("n"))
+    side = lambda s: c.select(F.col("entity_type").alias("type"), "norm", F.col("book").alias(f"book_{s}"), F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
+    names = c.groupBy("entity_type", "norm").agg(F.min("id").alias("row_id"))
+    near = alike_names(names.select("row_id", F.col("entity_type").alias("block"), "norm"), threshold)
+    name = lambda s: names.select(F.col("row_id").alias(s), F.col("norm").alias(f"norm_{s}"), F.col("entity_type").alias("type"))
+    both = near.join(name("a"), "a").join(name("b").drop("type"), "b").select("type", "norm_a", "norm_b", "similarity")
+    both = both.unionByName(both.select("type", F.col("norm_b").alias("norm_a"), F.col("norm_a").alias("norm_b"), "similarity"))
+    both = both.unionByName(names.select(F.col("entity_type").alias("type"), F.col("norm").alias("norm_a"), F.col("norm").alias("norm_b"), F.lit(1.0).alias("similarity")))
+    pairs = both.join(side("a").withColumnRenamed("norm", "norm_a"), ["type", "norm_a"]).join(side("b").withColumnRenamed("norm", "norm_b"), ["type", "norm_b"]).filter("book_a < book_b")
+    return pairs.select("a", "b", F.col("similarity").alias("score"), "n_a", "n_b").join(linked, ["a", "b"], "left_anti")
 
 
 def attribute_conflicts(values: DataFrame) -> DataFrame:

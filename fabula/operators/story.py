@@ -249,13 +249,30 @@ def name_variants(tokens: DataFrame) -> DataFrame:
     return g.select("norm", F.col("token").alias("canonical"), "forms", "total", F.round(F.least(F.lit(0.95), 0.5 + 0.45 * F.col("n") / F.col("total")), 6).alias("confidence"))
 
 
+def alike_names(names: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a, b of different names (row_id, block, norm) of one block with trigram Jaccard of the threshold or more, a the lesser row_id.
+
+    Prefix filtering as for near sentences: such names share one of their first |s| - ceil(t |s|) + 1 trigrams in order of (rarity, trigram)."""
+    e = names.select("row_id", "block", T.char_ngrams(F.col("norm"), 3).alias("grams")).filter(F.size("grams") > 0)
+    g = e.select("row_id", "block", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    g = g.join(g.groupBy("block", "gram").agg(F.count("*").alias("df")), ["block", "gram"])
+    rank = F.row_number().over(Window.partitionBy("row_id").orderBy("df", "gram"))
+    prefix = g.withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("row_id", "block", "size", "gram")
+    a, b = prefix.withColumnsRenamed({"row_id": "a", "size": "na"}), prefix.withColumnsRenamed({"row_id": "b", "size": "nb"})
+    pairs = a.join(b, ["block", "gram"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    own = e.select(F.col("row_id").alias("a"), F.col("grams").alias("ga")), e.select(F.col("row_id").alias("b"), F.col("grams").alias("gb"))
+    found = pairs.join(own[0], "a").join(own[1], "b").select("a", "b", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"))
+    return found.filter(F.col("similarity") >= threshold)
+
+
 def merge_suggestions(entities: DataFrame, threshold: float = 0.5, top: int = 50) -> DataFrame:
-    """Entity pairs of one type by trigram Jaccard of their names: blocked by shared trigrams, the first `top`."""
-    e = entities.select("entity_id", "entity_type", T.char_ngrams(T.normalize_name(F.col("name")), 3).alias("grams"))
-    g = e.select("entity_id", "entity_type", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    a, b = g.withColumnsRenamed({"entity_id": "a", "size": "na"}), g.withColumnsRenamed({"entity_id": "b", "size": "nb"})
-    pairs = a.join(b, ["entity_type", "gram"]).filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    return pairs.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("similarity")).filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "a", "b").limit(top)
+    """The first `top` suggestions: entities of one type with one name (a the first, b the last of n), and names alike by trigram Jaccard, each for its first entity."""
+    c = entities.groupBy("entity_type", T.normalize_name(F.col("name")).alias("norm")).agg(F.min("entity_id").alias("a"), F.max("entity_id").alias("last"), F.count("*").alias("n"))
+    size = lambda side: c.select(F.col("a").alias(side), F.col("n").alias(f"n{side}"))
+    near = alike_names(c.select(F.col("a").alias("row_id"), F.col("entity_type").alias("block"), "norm"), threshold)
+    near = near.join(size("a"), "a").join(size("b"), "b").select("a", "b", "similarity", (F.col("na") + F.col("nb")).alias("n"))
+    same = c.filter("n > 1").select("a", F.col("last").alias("b"), F.lit(1.0).alias("similarity"), "n")
+    return near.unionByName(same).orderBy(F.desc("similarity"), "a", "b").limit(top)
 
 
 def ancestors(nodes: DataFrame, max_depth: int = 5) -> DataFrame:

@@ -34,11 +34,11 @@ def readability(docs: DataFrame) -> DataFrame:
     words = T.word_list(F.col("text"))
     base = docs.select(
         "doc_id", F.size(words).cast("long").alias("n_words"), F.greatest(F.lit(1), F.size(T.sentences(F.col("text")))).cast("long").alias("n_sentences"),
-        F.aggregate(F.transform(words, T.syllables), F.lit(0).cast("long"), lambda a, b: a + b).alias("n_syllables")).filter("n_words > 0")
+        T.text_syllables(F.col("text")).alias("n_syllables")).filter("n_words > 0")
     per_word, per_sentence = F.col("n_syllables") / F.col("n_words"), F.col("n_words") / F.col("n_sentences")
     clamp = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)), 6)
     return base.select(
-        "doc_id", "n_words", "n_sentences", "n_syllables", clamp(206.84 - 62.3 * per_word - per_sentence).alias("szigriszt"),
+        "doc_id", "n_words", "n_sentences", "n_syllables", clamp(206.84 - 62.3 * per_word - 1.02 * per_sentence).alias("szigriszt"),
         clamp(206.84 - 0.60 * (100 * per_word) - 1.02 * per_sentence).alias("fernandez_huerta"))
 
 

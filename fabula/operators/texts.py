@@ -47,16 +47,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def fingerprint_matches(docs: DataFrame) -> DataFrame:
     """Documents with the same text as an earlier one, or else the same start: each with the first such document."""
     f = fingerprints(docs)
-    first = lambda key: F.min("doc_id").over(Window.partitionBy(key))
-    f = f.withColumn("same", first("full_hash")).withColumn("like", first("start_hash"))
+    for key, name in (("full_hash", "same"), ("start_hash", "like")):  # a minimum and a join: a text that a third of all rows share is no one task's
+        f = f.join(f.groupBy(key).agg(F.min("doc_id").alias(name)), key)
     how = F.when(F.col("same") < F.col("doc_id"), "exact").when(F.col("like") < F.col("doc_id"), "start")
     return f.withColumn("how", how).filter("how is not null").select("doc_id", F.when(F.col("how") == "exact", F.col("same")).otherwise(F.col("like")).alias("match_id"), "how")
 
 
 def identity(docs: DataFrame) -> DataFrame:
-    """Neighbouring versions (ids 2k and 2k + 1) compared: .3 word Jaccard + .5 trigram Jaccard + .2 length ratio, on texts of up to 2000 characters."""
+    """Neighbouring versions (ids 2k and 2k + 1) compared: .3 word Jaccard + .5 trigram Jaccard + .2 length ratio."""
     t = F.lower(T.empty_as(F.col("text")))
-    d = docs.filter(F.length("text") <= 2000).select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("side"), F.array_distinct(T.word_list(t)).alias("ws"), T.char_ngrams(t, 3).alias("grams"), F.length(t).alias("n"))
+    d = docs.select(F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("side"), F.array_distinct(T.word_list(t)).alias("ws"), T.char_ngrams(t, 3).alias("grams"), F.length(t).alias("n"))
     a, b = d.filter("side = 0"), d.filter("side = 1").withColumnsRenamed({"ws": "ws1", "grams": "grams1", "n": "n1"})
     j = a.join(b.select("pair", "ws1", "grams1", "n1"), "pair")
     score = 0.3 * T.jaccard(F.col("ws"), F.col("ws1"), 0.0) + 0.5 * T.jaccard(F.col("grams"), F.col("grams1"), 0.0) + 0.2 * (F.least("n", "n1") / F.greatest("n", "n1", F.lit(1)))

@@ -26,7 +26,7 @@ def profiles(lines: DataFrame) -> DataFrame:
 def characteristic_words(lines: DataFrame, top: int = 20) -> DataFrame:
     """Words of a speaker by tf over (overall frequency + 0.001), above 1, used twice at least; the first 20."""
     counts = _words(lines, "role").groupBy("role", "word").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("of_role", F.sum("n").over(Window.partitionBy("role"))).withColumn("of_word", F.sum("n").over(Window.partitionBy("word")))
+    counts = counts.join(counts.groupBy("role").agg(F.sum("n").alias("of_role")), "role").join(counts.groupBy("word").agg(F.sum("n").alias("of_word")), "word")
     total = F.broadcast(counts.agg(F.sum("n").alias("total")))  # one row
     score = (F.col("n") / F.col("of_role")) * (1 / (F.col("of_word") / F.col("total") + 0.001))
     scored = counts.join(total, F.lit(True)).withColumn("score", F.round(score, 6)).filter((F.col("score") > 1) & (F.col("n") >= 2))
@@ -46,8 +46,8 @@ def speech_patterns(lines: DataFrame, top: int = 5) -> DataFrame:
 def deviations(lines: DataFrame, flag: float = 2.0) -> DataFrame:
     """Lines whose length lies more than 2 sample deviations from the speaker's mean; above 3 medium, above 4 high."""
     n = F.size(T.word_list(F.col("text"))).cast("long")
-    of = Window.partitionBy("role")
-    stats = lines.select("conv_id", "turn", "role", n.alias("n_words")).withColumn("mean", F.avg("n_words").over(of)).withColumn("std", F.coalesce(F.stddev_samp("n_words").over(of), F.lit(0.0)))
+    sizes = lines.select("conv_id", "turn", "role", n.alias("n_words"))  # speakers are few, so their figures are aggregated and joined, not windowed
+    stats = sizes.join(sizes.groupBy("role").agg(F.avg("n_words").alias("mean"), F.coalesce(F.stddev_samp("n_words"), F.lit(0.0)).alias("std")), "role")
     z = F.abs(F.col("n_words") - F.col("mean")) / F.greatest(F.col("std"), F.lit(1.0))
     severity = F.when(F.col("z") > 4, "high").when(F.col("z") > 3, "medium").otherwise("low")
     return stats.withColumn("z", F.round(z, 6)).filter(F.col("z") > flag).select("conv_id", "turn", "role", "n_words", "z", severity.alias("severity"))

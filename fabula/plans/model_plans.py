@@ -78,39 +78,40 @@ def resolved_config(spark, sf_dir):
 
 
 @query(f"""
-WITH {ENTITIES}, b AS (SELECT *, entity_id % 3 AS book, lower(name) AS norm FROM entities), g AS (SELECT DISTINCT book, entity_id, entity_type, norm, substr(norm, i, 3) AS gram FROM (SELECT *, unnest(range(1, length(norm) - 1)) AS i FROM b)), n AS (SELECT entity_id, count(*) AS n FROM g GROUP BY 1),
-k AS (SELECT x.entity_id AS a, y.entity_id AS b, x.norm AS x, y.norm AS y, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.entity_type = y.entity_type AND x.book < y.book GROUP BY 1, 2, 3, 4),
-s AS (SELECT a, k.b, CASE WHEN x = y THEN 1.0 ELSE round(k / (p.n + q.n - k), 6) END AS score FROM k JOIN n p ON p.entity_id = a JOIN n q ON q.entity_id = k.b) SELECT a, b, score FROM s WHERE score >= 0.5 AND NOT (a % 10 = 0 AND b % 10 = 1)""")
+WITH {ENTITIES}, c AS (SELECT entity_id % 3 AS book, entity_type, lower(name) AS norm, min(entity_id) AS id, count(*) AS n FROM entities GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT book, id, n, entity_type, norm, substr(norm, i, 3) AS gram FROM (SELECT *, unnest(range(1, length(norm) - 1)) AS i FROM c)), z AS (SELECT id, count(*) AS z FROM g GROUP BY 1),
+k AS (SELECT x.id AS a, y.id AS b, x.n AS n_a, y.n AS n_b, x.norm = y.norm AS same, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.entity_type = y.entity_type AND x.book < y.book GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT a, b, CASE WHEN same THEN 1.0 ELSE round(k / (p.z + q.z - k), 6) END AS score, n_a, n_b FROM k JOIN z p ON p.id = a JOIN z q ON q.id = k.b) SELECT * FROM s WHERE score >= 0.5 AND NOT (a % 10 = 0 AND b = a + 1)""")
 def link_suggestions(spark, sf_dir):
     e = _entities(spark, sf_dir).withColumn("book", F.col("entity_id") % 3)
     ids = e.select(F.col("entity_id").alias("a")).filter("a % 10 = 0")
-    linked = ids.join(e.select(F.col("entity_id").alias("b")).filter("b % 10 = 1"), F.lit(True))  # a stated list of links, at most 400
+    linked = ids.join(e.select(F.col("entity_id").alias("b")), F.col("b") == F.col("a") + 1)  # links that exist already
     return M.link_suggestions(e, linked)
 
 
-@query("""WITH v AS (SELECT l_partkey % 50 AS entity, l_linestatus AS key, l_suppkey % 3 AS book, lower(trim(l_returnflag || (l_quantity % 2)::INT)) AS value, l_discount AS confidence FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("""WITH v AS (SELECT l_partkey AS entity, l_linestatus AS key, l_suppkey % 3 AS book, lower(trim(l_returnflag || (l_quantity % 2)::INT)) AS value, l_discount AS confidence FROM lineitem),
 g AS (SELECT entity, key, book, list_sort(list_distinct(list(value))) AS vs, arg_max(value, row(confidence, value)) AS best FROM v GROUP BY 1, 2, 3)
 SELECT a.entity, a.key, a.book AS book_a, b.book AS book_b, a.best AS best_a, b.best AS best_b FROM g a JOIN g b ON a.entity = b.entity AND a.key = b.key AND a.book < b.book AND a.vs <> b.vs""")
 def attribute_conflicts(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0")  # a tenth of the facts are attributes, as in the oracle
-    return M.attribute_conflicts(li.select((F.col("l_partkey") % 50).alias("entity"), F.col("l_linestatus").alias("key"), (F.col("l_suppkey") % 3).alias("book"), F.concat("l_returnflag", (F.col("l_quantity") % 2).cast("int").cast("string")).alias("value"), F.col("l_discount").alias("confidence")))
+    li = load(spark, sf_dir, "lineitem")
+    return M.attribute_conflicts(li.select(F.col("l_partkey").alias("entity"), F.col("l_linestatus").alias("key"), (F.col("l_suppkey") % 3).alias("book"), F.concat("l_returnflag", (F.col("l_quantity") % 2).cast("int").cast("string")).alias("value"), F.col("l_discount").alias("confidence")))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey % 50 AS entity, l_suppkey % 2 AS book, l_orderkey % 300 AS item, CASE WHEN l_linenumber % 2 = 0 THEN 'acquire' ELSE 'lose' END AS kind FROM lineitem)
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS entity, l_suppkey % 2 AS book, l_orderkey % 10 AS item, CASE WHEN l_linenumber % 2 = 0 THEN 'acquire' ELSE 'lose' END AS kind FROM lineitem)
 SELECT a.entity, a.item FROM e a JOIN e l ON l.entity = a.entity AND l.item = a.item AND l.book = 1 AND l.kind = 'lose' WHERE a.book = 0 AND a.kind = 'acquire'
   AND NOT EXISTS (SELECT 1 FROM e x WHERE x.entity = a.entity AND x.item = a.item AND x.book = 0 AND x.kind = 'lose') AND NOT EXISTS (SELECT 1 FROM e x WHERE x.entity = a.entity AND x.item = a.item AND x.book = 1 AND x.kind = 'acquire')""")
 def lost_without_having(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    return M.lost_without_having(li.select((F.col("l_partkey") % 50).alias("entity"), (F.col("l_suppkey") % 2).alias("book"), (F.col("l_orderkey") % 300).alias("item"), F.when(F.col("l_linenumber") % 2 == 0, "acquire").otherwise("lose").alias("kind")))
+    return M.lost_without_having(li.select(F.col("l_partkey").alias("entity"), (F.col("l_suppkey") % 2).alias("book"), (F.col("l_orderkey") % 10).alias("item"), F.when(F.col("l_linenumber") % 2 == 0, "acquire").otherwise("lose").alias("kind")))
 
 
-STATES = "st AS (SELECT l_orderkey % 500 AS doc_id, l_linenumber AS chapter, l_partkey % 20 AS entity_id, l_orderkey * 10 + l_linenumber AS row_id, CAST(trunc(l_extendedprice) AS BIGINT) % 20000 AS at, CASE WHEN l_discount > 0.05 THEN 1 ELSE -1 END AS tone, l_returnflag FROM lineitem)"
+STATES = "st AS (SELECT l_orderkey // 100 AS doc_id, l_linenumber AS chapter, l_partkey % 20 AS entity_id, l_orderkey * 10 + l_linenumber AS row_id, CAST(trunc(l_extendedprice) AS BIGINT) % 20000 AS at, CASE WHEN l_discount > 0.05 THEN 1 ELSE -1 END AS tone, l_returnflag FROM lineitem)"
 
 
 @query(f"""WITH {STATES} SELECT a.doc_id, a.chapter, a.entity_id, a.row_id AS a, b.row_id AS b FROM st a JOIN st b ON a.doc_id = b.doc_id AND a.chapter = b.chapter AND a.entity_id = b.entity_id AND abs(a.at - b.at) <= 500 AND a.tone * b.tone < 0 WHERE a.l_returnflag = 'A' AND b.l_returnflag <> 'A'""")
 def emotional_inconsistencies(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    st = li.select((F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_linenumber").alias("chapter"), (F.col("l_partkey") % 20).alias("entity_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_extendedprice").cast("long") % 20000).alias("at"), F.when(F.col("l_discount") > 0.05, 1).otherwise(-1).alias("tone"), "l_returnflag")
+    st = li.select(F.floor(F.col("l_orderkey") / 100).alias("doc_id"), F.col("l_linenumber").alias("chapter"), (F.col("l_partkey") % 20).alias("entity_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), (F.col("l_extendedprice").cast("long") % 20000).alias("at"), F.when(F.col("l_discount") > 0.05, 1).otherwise(-1).alias("tone"), "l_returnflag")
     return M.emotional_inconsistencies(st.filter("l_returnflag = 'A'"), st.filter("l_returnflag <> 'A'"))
 
 
@@ -150,7 +151,7 @@ def character_importance(spark, sf_dir):
 
 
 def _propagated(rounds):
-    sql = f"WITH {PAIRS}, {EDGES}, arcs AS (SELECT a, b, n AS weight FROM edges WHERE n >= 5 UNION ALL SELECT b, a, n FROM edges WHERE n >= 5), l0 AS (SELECT DISTINCT a AS node, a AS label FROM arcs)"
+    sql = f"WITH {PAIRS}, {EDGES}, arcs AS (SELECT a, b, n AS weight FROM edges UNION ALL SELECT b, a, n FROM edges), l0 AS (SELECT DISTINCT a AS node, a AS label FROM arcs)"
     for i in range(rounds):
         sql += f", w{i} AS (SELECT arcs.a AS node, label, sum(weight) AS w FROM arcs JOIN l{i} ON arcs.b = l{i}.node GROUP BY 1, 2), l{i + 1} AS (SELECT node, arg_max(label, row(w, -label)) AS label FROM w{i} GROUP BY 1)"
     return sql + f" SELECT node, label FROM l{rounds}"
@@ -158,5 +159,5 @@ def _propagated(rounds):
 
 @query(_propagated(3))
 def communities(spark, sf_dir):
-    edges = S.network(S.cooccurrences(_mentions(spark, sf_dir))).filter("n >= 5").select("a", "b", F.col("n").alias("weight"))
+    edges = S.network(S.cooccurrences(_mentions(spark, sf_dir))).select("a", "b", F.col("n").alias("weight"))
     return M.communities(edges)

@@ -8,13 +8,18 @@ from fabula.plans.style_plans import CHAP, TOK
 from fabula.sources import tables
 from fabula.sources.tables import load
 
-MENTIONS = """mentions AS (SELECT l_partkey % 200 AS entity_id, l_orderkey % 500 AS doc_id, CAST(l_linenumber AS BIGINT) AS chapter, CAST(trunc(l_extendedprice) AS BIGINT) % 20000 AS start_char,
+MENTIONS = """mentions AS (SELECT l_partkey AS entity_id, l_orderkey // 100 AS doc_id, CAST(l_linenumber AS BIGINT) AS chapter, CAST(trunc(l_extendedprice) AS BIGINT) % 20000 AS start_char,
   CAST(trunc(l_extendedprice) AS BIGINT) % 20000 + CAST(l_quantity AS BIGINT) AS end_char, l_returnflag <> 'R' AS is_active FROM lineitem)"""
-ENTITIES = """entities AS (SELECT p_partkey AS entity_id, p_name || ' ' || (p_partkey % 20) AS name, lower(p_type) AS entity_type, ['primary', 'secondary', 'minor'][p_size % 3 + 1] AS importance FROM part WHERE p_partkey < 200)"""
-INTERACTIONS = """x AS (SELECT * FROM (SELECT l_partkey % 40 AS a, l_suppkey % 40 AS b, CAST(l_linenumber AS BIGINT) AS chapter, l_orderkey AS start_char, CAST(trunc(l_discount * 100) AS BIGINT) * 20 - 100 AS tone_pct, lower(l_linestatus) AS kind FROM lineitem) WHERE a <> b),
+ENTITIES = """entities AS (SELECT p_partkey AS entity_id, p_name || ' ' || (p_partkey % 20) AS name, lower(p_type) AS entity_type, ['primary', 'secondary', 'minor'][p_size % 3 + 1] AS importance FROM part)"""
+INTERACTIONS = """x AS (SELECT * FROM (SELECT l_orderkey // 100 * 8 + l_partkey % 8 AS a, l_orderkey // 100 * 8 + l_suppkey % 8 AS b, CAST(l_linenumber AS BIGINT) AS chapter, l_orderkey AS start_char, CAST(trunc(l_discount * 100) AS BIGINT) * 20 - 100 AS tone_pct, lower(l_linestatus) AS kind FROM lineitem) WHERE a <> b),
 p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, a < b AS started, chapter, start_char, tone_pct AS tone, kind FROM x)"""
-EVENTS = """ev AS (SELECT o_custkey % 300 AS doc_id, o_orderkey AS event_id, o_orderkey % 12 AS chapter, o_orderkey * 7 % 3000 AS start_char, CAST(o_orderdate AS DATE) AS story_date, o_orderpriority <> '5-LOW' AS is_dated,
+EVENTS = """ev AS (SELECT o_custkey AS doc_id, o_orderkey AS event_id, o_orderkey % 12 AS chapter, o_orderkey * 7 % 3000 AS start_char, CAST(o_orderdate AS DATE) AS story_date, o_orderpriority <> '5-LOW' AS is_dated,
   CAST(floor(o_totalprice) AS BIGINT) % 40 AS number FROM orders)"""
+# names: one row for each distinct name of a type (and book), and pairs of different ones that share a trigram
+NAMES = """c AS (SELECT entity_type, lower(name) AS norm, min(entity_id) AS a, max(entity_id) AS last, count(*) AS n FROM entities GROUP BY 1, 2),
+g AS (SELECT DISTINCT a, entity_type, n, substr(norm, i, 3) AS gram FROM (SELECT *, unnest(range(1, length(norm) - 1)) AS i FROM c)), z AS (SELECT a, count(*) AS z FROM g GROUP BY 1)"""
+ALIKE = """k AS (SELECT x.a, y.a AS b, x.n AS na, y.n AS nb, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.entity_type = y.entity_type AND x.a < y.a {more} GROUP BY 1, 2, 3, 4),
+s AS (SELECT k.a, k.b, na, nb, round(k / (p.z + q.z - k), 6) AS similarity FROM k JOIN z p ON p.a = k.a JOIN z q ON q.a = k.b)"""
 ORDER = "(PARTITION BY doc_id ORDER BY chapter, start_char, event_id)"
 
 
@@ -36,10 +41,10 @@ def _events(spark, d):
 
 def _markers(spark, d):
     e = load(spark, d, "orders")
-    return e.select((F.col("o_orderkey") % 500).alias("doc_id"), (F.col("o_custkey") % 7 + 1).alias("chapter"), F.col("o_orderkey").alias("marker_id"), (F.col("o_totalprice").cast("long") % 20000).alias("at"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("direction"))
+    return e.select(F.floor(F.col("o_orderkey") / tables.STORY).alias("doc_id"), (F.col("o_custkey") % 7 + 1).alias("chapter"), F.col("o_orderkey").alias("marker_id"), (F.col("o_totalprice").cast("long") % 20000).alias("at"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1).alias("direction"))
 
 
-MARKERS = "markers AS (SELECT o_orderkey % 500 AS doc_id, o_custkey % 7 + 1 AS chapter, o_orderkey AS marker_id, CAST(trunc(o_totalprice) AS BIGINT) % 20000 AS at, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS direction FROM orders)"
+MARKERS = "markers AS (SELECT o_orderkey // 100 AS doc_id, o_custkey % 7 + 1 AS chapter, o_orderkey AS marker_id, CAST(trunc(o_totalprice) AS BIGINT) % 20000 AS at, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END AS direction FROM orders)"
 PAIRS = f"{MENTIONS}, pairs AS (SELECT m.doc_id, m.chapter, m.entity_id AS a, n.entity_id AS b, abs(m.start_char - n.start_char) AS distance FROM mentions m JOIN mentions n ON m.doc_id = n.doc_id AND m.chapter = n.chapter AND m.entity_id < n.entity_id AND abs(m.start_char - n.start_char) <= 500)"
 EDGES = "edges AS (SELECT a, b, round(sum(greatest(0.1::DOUBLE, 1 - distance / 500)), 6) AS weight, count(*) AS n, array_to_string(list_sort(list_distinct(list(chapter))), ',') AS chapters FROM pairs GROUP BY 1, 2)"
 
@@ -81,11 +86,11 @@ def network_degrees(spark, sf_dir):
     return S.degrees(S.network(S.cooccurrences(_mentions(spark, sf_dir))))
 
 
-@query(f"""WITH {PAIRS}, e AS (SELECT DISTINCT a, b FROM pairs WHERE distance <= 30), t AS (SELECT x.a, x.b AS m, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b),
+@query(f"""WITH {PAIRS}, e AS (SELECT DISTINCT a, b FROM pairs), t AS (SELECT x.a, x.b AS m, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b),
 n AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM t UNION ALL SELECT m FROM t UNION ALL SELECT c FROM t) GROUP BY 1), d AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1)
 SELECT node, d AS degree, coalesce(t, 0) AS triangles, CASE WHEN d < 2 THEN 0.0 ELSE round(2 * coalesce(t, 0) / (d * (d - 1)), 6) END AS coefficient FROM d LEFT JOIN n USING (node)""")
 def network_clustering(spark, sf_dir):
-    return S.clustering_coefficients(S.cooccurrences(_mentions(spark, sf_dir)).filter("distance <= 30"))
+    return S.clustering_coefficients(S.cooccurrences(_mentions(spark, sf_dir)))
 
 
 @query(f"""WITH {PAIRS}, e AS (SELECT chapter, count(DISTINCT (a, b)) AS n_edges FROM pairs GROUP BY 1), n AS (SELECT chapter, count(DISTINCT node) AS n_nodes FROM (SELECT chapter, a AS node FROM pairs UNION ALL SELECT chapter, b FROM pairs) GROUP BY 1)
@@ -150,10 +155,10 @@ def relationship_graph(spark, sf_dir):
     return S.relationship_graph(_interactions(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {INTERACTIONS}, e AS (SELECT a, b FROM x WHERE chapter = 7 AND tone_pct > 60 UNION SELECT b, a FROM x WHERE chapter = 7 AND tone_pct > 60),
+@query(f"""WITH RECURSIVE {INTERACTIONS}, e AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
 r AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS depth UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON r.node = e.a WHERE r.depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def bounded_search(spark, sf_dir):
-    return S.bounded_search(_interactions(spark, sf_dir).filter("chapter = 7 and tone_pct > 60"), 0)
+    return S.bounded_search(_interactions(spark, sf_dir), 0)
 
 
 @query(f"""WITH {EVENTS}, d AS (SELECT doc_id, chapter * 10000000000 + start_char * 1000000 + event_id AS k, story_date FROM ev WHERE is_dated), f AS (SELECT doc_id, arg_min(story_date, k) AS fa FROM d GROUP BY 1),
@@ -224,9 +229,8 @@ def name_variants(spark, sf_dir):
 
 
 @query(f"""
-WITH {ENTITIES}, g AS (SELECT DISTINCT entity_id, entity_type, substr(lower(name), i, 3) AS gram FROM (SELECT *, unnest(range(1, length(name) - 1)) AS i FROM entities)),
-n AS (SELECT entity_id, count(*) AS n FROM g GROUP BY 1), k AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.entity_type = y.entity_type AND x.entity_id < y.entity_id GROUP BY 1, 2),
-s AS (SELECT a, b, round(k / (p.n + q.n - k), 6) AS similarity FROM k JOIN n p ON p.entity_id = a JOIN n q ON q.entity_id = b) SELECT * FROM s WHERE similarity >= 0.5 ORDER BY similarity DESC, a, b LIMIT 50""")
+WITH {ENTITIES}, {NAMES}, {ALIKE.format(more="")}
+SELECT a, b, similarity, n FROM (SELECT a, b, similarity, na + nb AS n FROM s WHERE similarity >= 0.5 UNION ALL SELECT a, last, 1.0, n FROM c WHERE n > 1) ORDER BY similarity DESC, a, b LIMIT 50""")
 def merge_suggestions(spark, sf_dir):
     return S.merge_suggestions(_entities(spark, sf_dir))
 

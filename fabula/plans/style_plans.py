@@ -11,8 +11,13 @@ QUOTED = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words
 
 TOK = f"""tok AS (SELECT doc_id, unnest(ws) AS token, lower(unnest(ws)) AS token_lc, unnest(range(len(ws))) AS word_idx
   FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents))"""
-SENT = r"""sent AS (SELECT doc_id, unnest(ss) AS text, unnest(range(len(ss))) AS sent_idx
-  FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?]+'), lambda s: trim(s)) AS ss FROM documents))"""
+def sentences_sql(text):
+    """The sentences of an expression as a list: ends are marked with chr(1), then the text is split there."""
+    marked = f"regexp_replace(replace({text}, chr(1), ' '), '([.!?]+(?:\\s|$|[\"'')»]))', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s, i: s <> '' AND (length(s) >= 10 OR i <= length({marked}) - length(replace({marked}, chr(1), ''))))"
+
+
+SENT = f"sent AS (SELECT doc_id, unnest(ss) AS text, unnest(range(len(ss))) AS sent_idx FROM (SELECT doc_id, {sentences_sql("coalesce(text, '')")} AS ss FROM documents))"
 PARA = """para AS (SELECT doc_id, unnest(ls) AS text, unnest(range(len(ls))) AS para_idx
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))"""
 CHAP = """chap AS (SELECT doc_id, c AS chapter, array_to_string(ls[(c - 1) * 5 + 1:c * 5], chr(10)) AS text
@@ -25,7 +30,7 @@ def _n(words, ws="ws"):
 
 
 METRICS = f"""m AS (SELECT doc_id, chapter, CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT) AS n_words,
-  CAST(greatest(1, len(regexp_extract_all(text, '[^.!?\\n]+[.!?]+'))) AS BIGINT) AS n_sentences,
+  CAST(greatest(1, len({sentences_sql("text")})) AS BIGINT) AS n_sentences,
   CAST(len(list_filter(string_split(text, chr(10)), lambda s: length(trim(s)) > 0)) AS BIGINT) AS n_paragraphs,
   CAST(length(text) - length(regexp_replace(text, '{SPEECH}', '', 'g')) AS BIGINT) AS dialogue_chars, CAST(length(text) AS BIGINT) AS chars,
   CAST(len(regexp_extract_all(text, '[!¡]')) AS BIGINT) AS exclamations, CAST(len(regexp_extract_all(text, '[?¿]')) AS BIGINT) AS questions,
@@ -67,12 +72,12 @@ SYL = """CASE WHEN length(regexp_replace(lower(w), '[^a-záéíóúüñ]', '', '
 
 
 @query(f"""
-WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, len(regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?]+')) AS ns FROM documents),
+WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, len({sentences_sql("coalesce(text, '')")}) AS ns FROM documents),
 y AS (SELECT doc_id, sum(len(regexp_extract_all(lower(w), '[aeiouáéíóúü]+'))) AS g0, CAST(sum(greatest(1, len(regexp_extract_all(lower(w), '[aeiouáéíóúü]+'))
   + coalesce(list_sum(list_transform(regexp_extract_all(lower(w), '[aeoáéó]{{2,}}'), lambda g: length(g) - 1)), 0))) AS BIGINT) AS n_syllables
   FROM (SELECT doc_id, unnest(ws) AS w FROM b) GROUP BY doc_id),
 c AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(greatest(1, ns) AS BIGINT) AS n_sentences, n_syllables FROM b JOIN y USING (doc_id))
-SELECT *, round(greatest(0.0, least(100.0, CAST(206.84 AS DOUBLE) - CAST(62.3 AS DOUBLE) * (n_syllables / n_words) - n_words / n_sentences)), 6) AS szigriszt,
+SELECT *, round(greatest(0.0, least(100.0, CAST(206.84 AS DOUBLE) - CAST(62.3 AS DOUBLE) * (n_syllables / n_words) - CAST(1.02 AS DOUBLE) * (n_words / n_sentences))), 6) AS szigriszt,
   round(greatest(0.0, least(100.0, CAST(206.84 AS DOUBLE) - CAST(0.60 AS DOUBLE) * (100 * (n_syllables / n_words)) - CAST(1.02 AS DOUBLE) * (n_words / n_sentences))), 6) AS fernandez_huerta FROM c""")
 def readability(spark, sf_dir):
     return style.readability(load(spark, sf_dir, "documents"))

@@ -50,7 +50,7 @@ def fingerprint_matches(spark, sf_dir):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS side, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS ws, CASE WHEN length(text) >= 3 THEN list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) ELSE [] END AS gs, length(lower(text)) AS n FROM documents WHERE length(text) <= 2000),
+WITH d AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS side, list_distinct(regexp_extract_all(lower(text), '{WORD}')) AS ws, CASE WHEN length(text) >= 3 THEN list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) ELSE [] END AS gs, length(lower(text)) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 j AS (SELECT a.pair, len(list_intersect(a.ws, b.ws)) AS wi, len(list_distinct(list_concat(a.ws, b.ws))) AS wu, len(list_intersect(a.gs, b.gs)) AS gi, len(list_distinct(list_concat(a.gs, b.gs))) AS gu, a.n AS n, b.n AS m FROM d a JOIN d b ON a.pair = b.pair AND a.side = 0 AND b.side = 1),
 s AS (SELECT pair, 0.3::DOUBLE * CASE WHEN wu = 0 THEN 0 ELSE wi / wu END + 0.5::DOUBLE * CASE WHEN gu = 0 THEN 0 ELSE gi / gu END + 0.2::DOUBLE * (least(n, m) / greatest(n, m, 1)) AS score FROM j)
 SELECT pair, round(score, 6) AS score, CASE WHEN score >= 0.78 THEN 'same' WHEN score <= 0.40 THEN 'different' ELSE 'uncertain' END AS kind FROM s""")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fabula.functions import text as T
 
 CHAPTER_PARAGRAPHS = 5
+#: Orders of the star schema that make up one story, and its cast.
+STORY, CAST = 100, 8
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,28 +69,29 @@ def mentions(lineitem: DataFrame) -> DataFrame:
     """Entity mentions: entity_id, doc_id, chapter, start_char, end_char, is_active."""
     start = F.col("l_extendedprice").cast("long") % 20000
     return lineitem.select(
-        (F.col("l_partkey") % 200).alias("entity_id"), (F.col("l_orderkey") % 500).alias("doc_id"), F.col("l_linenumber").cast("long").alias("chapter"), start.alias("start_char"),
+        F.col("l_partkey").alias("entity_id"), F.floor(F.col("l_orderkey") / STORY).alias("doc_id"), F.col("l_linenumber").cast("long").alias("chapter"), start.alias("start_char"),
         (start + F.col("l_quantity").cast("long")).alias("end_char"), (F.col("l_returnflag") != "R").alias("is_active"))
 
 
 def entities(part: DataFrame) -> DataFrame:
-    """The first 200 parts as entities: entity_id, name, entity_type, importance."""
-    return part.filter("p_partkey < 200").select(
+    """Every part as an entity: entity_id, name, entity_type, importance."""
+    return part.select(
         F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 20).cast("string")).alias("name"), F.lower("p_type").alias("entity_type"),
         F.element_at(F.array(*map(F.lit, ("primary", "secondary", "minor"))), (F.col("p_size") % 3 + 1).cast("int")).alias("importance"))
 
 
 def interactions(lineitem: DataFrame) -> DataFrame:
     """Interactions between two characters: a, b, chapter, start_char, tone (-1 to 1), kind."""
+    first = F.floor(F.col("l_orderkey") / STORY) * CAST  # each story has its own cast, so that pairs don't grow with the table
     return lineitem.select(
-        (F.col("l_partkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"), F.col("l_linenumber").cast("long").alias("chapter"), F.col("l_orderkey").alias("start_char"),
+        (first + F.col("l_partkey") % CAST).alias("a"), (first + F.col("l_suppkey") % CAST).alias("b"), F.col("l_linenumber").cast("long").alias("chapter"), F.col("l_orderkey").alias("start_char"),
         ((F.col("l_discount") * 100).cast("long") * 20 - 100).alias("tone_pct"), F.lower("l_linestatus").alias("kind")).filter("a <> b")
 
 
 def timeline(orders: DataFrame) -> DataFrame:
     """Dated events in reading order: doc_id, event_id, chapter, start_char, story_date, is_dated."""
     return orders.select(
-        (F.col("o_custkey") % 300).alias("doc_id"), F.col("o_orderkey").alias("event_id"), (F.col("o_orderkey") % 12).alias("chapter"), (F.col("o_orderkey") * 7 % 3000).alias("start_char"),
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("event_id"), (F.col("o_orderkey") % 12).alias("chapter"), (F.col("o_orderkey") * 7 % 3000).alias("start_char"),
         F.to_date("o_orderdate").alias("story_date"), (F.col("o_orderpriority") != "5-LOW").alias("is_dated"), (F.floor(F.col("o_totalprice")) % 40).cast("long").alias("number"))
 
 

@@ -12,7 +12,7 @@ THIRD_PERSON = ("él", "ella", "ellos", "ellas", "su", "sus", "le", "les", "he",
 POSITIVE = ("feliz", "alegre", "bien", "amor", "gracias", "genial", "sonri", "happy", "good", "thank", "great", "love")
 NEGATIVE = ("triste", "mal", "odio", "miedo", "rabia", "horrible", "llor", "sad", "bad", "hate", "fear", "wrong")
 ACTION = ("corrió", "saltó", "golpeó", "gritó", "disparó", "huyó", "atacó", "cayó", "lanzó", "ran", "jumped", "hit", "shouted", "fell", "threw")
-REGIONAL = {"coche": "es", "ordenador": "es", "móvil": "es", "zumo": "es", "carro": "mx", "computadora": "mx", "celular": "mx", "jugo": "mx", "colour": "uk", "lorry": "uk", "flat": "uk", "color": "us", "truck": "us", "apartment": "us"}
+REGIONAL = {"coche": "es", "ordenador": "es", "móvil": "es", "zumo": "es", "carro": "mx", "computadora": "mx", "celular": "mx", "jugo": "mx", "pavement": "uk", "lorry": "uk", "flat": "uk", "sidewalk": "us", "truck": "us", "apartment": "us"}
 CONFUSED = (("haber", "ver"), ("halla", "haya"), ("echo", "hecho"), ("tubo", "tuvo"), ("valla", "vaya"), ("votar", "botar"), ("their", "there"), ("affect", "effect"))
 PERIODS = (("antigüedad", -3000, 476), ("edad media", 476, 1492), ("edad moderna", 1492, 1789), ("siglo xix", 1800, 1900), ("siglo xx", 1900, 2000), ("contemporánea", 1789, 2100))
 NUMBER_WORDS = {

@@ -147,10 +147,10 @@ def dismissal_stats(alerts: DataFrame) -> DataFrame:
 
 
 def latest_versions(alerts: DataFrame, keep: int) -> DataFrame:
-    """Every row of each project: the newest `keep` with their rank, the rest (rank null) marked for removal. Only the newest are ranked, so each task keeps `keep` rows of a project at most."""
+    """Every row of each project: the newest `keep` with their rank, the rest (rank 0) marked for removal. Only the newest are ranked, so each task keeps `keep` rows of a project at most."""
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("alert_id")))
     newest = alerts.select("project_id", "alert_id", "created_at").withColumn("rank", rank).filter(F.col("rank") <= keep).select("alert_id", "rank")
-    return alerts.select("project_id", "alert_id").join(newest, "alert_id", "left").withColumn("removed", F.col("rank").isNull())
+    return alerts.select("project_id", "alert_id").join(newest, "alert_id", "left").select("project_id", "alert_id", F.coalesce("rank", F.lit(0)).alias("rank"), F.col("rank").isNull().alias("removed"))
 
 
 def review_report(alerts: DataFrame) -> DataFrame:

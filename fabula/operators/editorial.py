@@ -73,17 +73,17 @@ def scene_stats(docs: DataFrame) -> DataFrame:
 
 
 def entity_links(links: DataFrame, entities: DataFrame, books: DataFrame) -> DataFrame:
-    """Links (a, b) with both entities' names and their books' (book_id, title); ends that don't exist stay, without a name."""
+    """Links (a, b) with both entities' names and their books' (book_id, title); ends that don't exist stay, with empty names."""
     side = lambda s: entities.select(F.col("entity_id").alias(s), F.col("name").alias(f"name_{s}"), F.col("book_id").alias(f"book_{s}"))
     title = lambda s: books.select(F.col("book_id").alias(f"book_{s}"), F.col("title").alias(f"title_{s}"))
     out = links.join(side("a"), "a", "left").join(side("b"), "b", "left").join(title("a"), "book_a", "left").join(title("b"), "book_b", "left")
-    return out.select("a", "b", "name_a", "name_b", "title_a", "title_b")
+    return out.select("a", "b", *[F.coalesce(c, F.lit("")).alias(c) for c in ("name_a", "name_b", "title_a", "title_b")])
 
 
 def interactions_by_chapter(x: DataFrame, entities: DataFrame) -> DataFrame:
     """Interactions of each chapter between a known entity and another, known or not: counted, with mean tone."""
     named = x.join(entities.select(F.col("entity_id").alias("a"), F.col("name").alias("name_a")), "a").join(entities.select(F.col("entity_id").alias("b"), F.col("name").alias("name_b")), "b", "left")
-    return named.groupBy("chapter", "name_a", "name_b").agg(F.count("*").alias("n"), F.round(F.avg("tone_pct"), 6).alias("mean_tone"))
+    return named.groupBy("chapter", "name_a", F.coalesce("name_b", F.lit("")).alias("name_b")).agg(F.count("*").alias("n"), F.round(F.avg("tone_pct"), 6).alias("mean_tone"))
 
 
 def healed_differently(events: DataFrame) -> DataFrame:
@@ -150,9 +150,9 @@ def attributions(docs: DataFrame) -> DataFrame:
 
 
 def gender_of_names(docs: DataFrame, ambiguous: tuple[str, ...], female: tuple[str, ...], male: tuple[str, ...]) -> DataFrame:
-    """Capitalised words as first names: none if ambiguous, by list, else by their ending in a or o."""
+    """Capitalised words as first names: unknown if ambiguous, by list, else by their ending in a or o."""
     w = F.lower("token")
-    kind = F.when(w.isin(*ambiguous), None).when(w.isin(*female), "female").when(w.isin(*male), "male").when(w.endswith("a"), "female").when(w.endswith("o"), "male")
+    kind = F.when(w.isin(*ambiguous), "unknown").when(w.isin(*female), "female").when(w.isin(*male), "male").when(w.endswith("a"), "female").when(w.endswith("o"), "male").otherwise("unknown")
     return tables.tokens(docs).filter(F.col("token").rlike("^[A-ZÁÉÍÓÚÑ][a-záéíóúüñ]{2,}$")).groupBy(w.alias("name"), kind.alias("gender")).agg(F.count("*").alias("n"))
 
 

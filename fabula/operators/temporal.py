@@ -123,10 +123,10 @@ def inconsistent_ages(events: DataFrame, tolerance: float = 1.5) -> DataFrame:
 
 
 def chapter_times(events: DataFrame) -> DataFrame:
-    """The story time of each chapter, the first date told in it, and the hours since the chapter before that has one."""
+    """The story time of each chapter, the first date told in it, and the hours since the chapter before that has one (0 for the first)."""
     c = events.filter("is_dated").groupBy("doc_id", "chapter").agg(F.min("story_date").alias("at"))
     before = Window.partitionBy("doc_id").orderBy("chapter")
-    return c.select("doc_id", "chapter", F.col("at").cast("string").alias("date"), (F.datediff("at", F.lag("at").over(before)) * 24).cast("long").alias("gap_hours"))
+    return c.select("doc_id", "chapter", F.col("at").cast("string").alias("date"), F.coalesce(F.datediff("at", F.lag("at").over(before)) * 24, F.lit(0)).cast("long").alias("gap_hours"))
 
 
 def alive_in_chapters(events: DataFrame) -> DataFrame:

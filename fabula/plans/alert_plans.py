@@ -101,7 +101,7 @@ def dismissal_stats(spark, sf_dir):
     return A.dismissal_stats(_alerts(spark, sf_dir))
 
 
-@query(f"WITH {ALERTS}, r AS (SELECT project_id, alert_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, alert_id DESC) AS INT) AS r FROM alerts) SELECT project_id, alert_id, CASE WHEN r <= 10 THEN r END AS rank, r > 10 AS removed FROM r")
+@query(f"WITH {ALERTS}, r AS (SELECT project_id, alert_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, alert_id DESC) AS INT) AS r FROM alerts) SELECT project_id, alert_id, CASE WHEN r <= 10 THEN r ELSE 0 END AS rank, r > 10 AS removed FROM r")
 def snapshot_cleanup(spark, sf_dir):
     return A.latest_versions(_alerts(spark, sf_dir), 10)
 

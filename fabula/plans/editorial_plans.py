@@ -70,14 +70,14 @@ def scene_stats(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem), e AS (SELECT p_partkey AS id, p_name AS name, p_size AS book FROM part), b AS (SELECT n_nationkey AS id, n_name AS title FROM nation)
-SELECT a, l.b, x.name AS name_a, y.name AS name_b, p.title AS title_a, q.title AS title_b FROM l LEFT JOIN e x ON x.id = a LEFT JOIN e y ON y.id = l.b LEFT JOIN b p ON p.id = x.book LEFT JOIN b q ON q.id = y.book""")
+SELECT a, l.b, coalesce(x.name, '') AS name_a, coalesce(y.name, '') AS name_b, coalesce(p.title, '') AS title_a, coalesce(q.title, '') AS title_b FROM l LEFT JOIN e x ON x.id = a LEFT JOIN e y ON y.id = l.b LEFT JOIN b p ON p.id = x.book LEFT JOIN b q ON q.id = y.book""")
 def entity_links(spark, sf_dir):
     e = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_size").alias("book_id"))
     books = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("book_id"), F.col("n_name").alias("title"))
     return D.entity_links(load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct(), e, books)
 
 
-@query(f"""WITH {INTERACTIONS}, {ENTITIES} SELECT x.chapter, e.name AS name_a, f.name AS name_b, count(*) AS n, round(avg(tone_pct), 6) AS mean_tone FROM x JOIN entities e ON e.entity_id = x.a LEFT JOIN entities f ON f.entity_id = x.b GROUP BY 1, 2, 3""")
+@query(f"""WITH {INTERACTIONS}, {ENTITIES} SELECT x.chapter, e.name AS name_a, coalesce(f.name, '') AS name_b, count(*) AS n, round(avg(tone_pct), 6) AS mean_tone FROM x JOIN entities e ON e.entity_id = x.a LEFT JOIN entities f ON f.entity_id = x.b GROUP BY 1, 2, 3""")
 def interactions_by_chapter(spark, sf_dir):
     return D.interactions_by_chapter(_interactions(spark, sf_dir), _entities(spark, sf_dir))
 
@@ -157,7 +157,7 @@ def dialogue_attributions(spark, sf_dir):
 AMBIGUOUS, FEMALE, MALE = ("trinidad", "guadalupe", "cruz", "andrea"), ("carmen", "isabel", "pilar", "dolores"), ("luca", "borja", "josé", "miguel")
 
 
-@query(f"""WITH {TOK} SELECT token_lc AS name, CASE WHEN token_lc IN ({QUOTED(AMBIGUOUS)}) THEN NULL WHEN token_lc IN ({QUOTED(FEMALE)}) THEN 'female' WHEN token_lc IN ({QUOTED(MALE)}) THEN 'male' WHEN token_lc LIKE '%a' THEN 'female' WHEN token_lc LIKE '%o' THEN 'male' END AS gender, count(*) AS n
+@query(f"""WITH {TOK} SELECT token_lc AS name, CASE WHEN token_lc IN ({QUOTED(AMBIGUOUS)}) THEN 'unknown' WHEN token_lc IN ({QUOTED(FEMALE)}) THEN 'female' WHEN token_lc IN ({QUOTED(MALE)}) THEN 'male' WHEN token_lc LIKE '%a' THEN 'female' WHEN token_lc LIKE '%o' THEN 'male' ELSE 'unknown' END AS gender, count(*) AS n
 FROM tok WHERE regexp_matches(token, '^[A-ZÁÉÍÓÚÑ][a-záéíóúüñ]{{2,}}$') GROUP BY 1, 2""")
 def gender_of_names(spark, sf_dir):
     return D.gender_of_names(_docs(spark, sf_dir), AMBIGUOUS, FEMALE, MALE)

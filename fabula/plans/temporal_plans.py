@@ -62,7 +62,7 @@ def inconsistent_ages(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS}, c AS (SELECT doc_id, chapter, min(story_date) AS told FROM ev WHERE is_dated GROUP BY 1, 2)
-SELECT doc_id, chapter, CAST(told AS VARCHAR) AS date, CAST((told - lag(told) OVER (PARTITION BY doc_id ORDER BY chapter)) * 24 AS BIGINT) AS gap_hours FROM c""")
+SELECT doc_id, chapter, CAST(told AS VARCHAR) AS date, CAST(coalesce((told - lag(told) OVER (PARTITION BY doc_id ORDER BY chapter)) * 24, 0) AS BIGINT) AS gap_hours FROM c""")
 def chapter_times(spark, sf_dir):
     return P.chapter_times(_events(spark, sf_dir))
 

@@ -234,3 +234,25 @@ def found_mentions(docs: DataFrame, least: int = 3) -> DataFrame:
     one = t.filter(F.length("token") >= 4).select("doc_id", "word_idx", F.col("token").alias("name"))
     one = one.join(one.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("name"), "name").join(covered, ["doc_id", "word_idx"], "left_anti")
     return two.unionByName(one.select("doc_id", "word_idx", "name"))
+
+
+def word_difficulty(docs: DataFrame) -> DataFrame:
+    """For readers' ages: the share of words of at most two syllables and of four or more, and distinct words over all. Syllables are counted once for each distinct word of a text."""
+    w = tables.tokens(docs).groupBy("doc_id", F.col("token_lc").alias("word")).agg(F.count("*").alias("n")).withColumn("syllables", T.syllables(F.col("word")))
+    total = F.sum("n")
+    share = lambda cond: F.round(F.sum(F.when(cond, F.col("n")).otherwise(0)) / total, 6)
+    return w.groupBy("doc_id").agg(total.alias("n_words"), share(F.col("syllables") <= 2).alias("simple"), share(F.col("syllables") >= 4).alias("complex"), F.round(F.count("*") / total, 6).alias("diversity"))
+
+
+def after_undo(log: DataFrame, undo: str) -> DataFrame:
+    """The state of each key (user_id) of an append-only log once undone actions are left out: an action directly followed by an undo doesn't count, nor does the undo."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = log.select("user_id", "event_id", "event_type", "value", "ts", F.lead("event_type").over(w).alias("next")).filter((F.col("event_type") != undo) & ~F.col("next").eqNullSafe(undo))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_actions"), F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("s")).select("user_id", "n_actions", "s.event_id", "s.event_type", "s.value")
+
+
+def equal_spellings(docs: DataFrame) -> DataFrame:
+    """Capitalised words of a text that are one once accents and case are left out: how many forms, and the commonest one (the first in order on ties)."""
+    t = tables.tokens(docs).filter(F.col("token").rlike("^[A-ZÁÉÍÓÚÑ]") & (F.length("token") >= 3)).groupBy("doc_id", T.normalize_name(F.col("token")).alias("norm"), "token").agg(F.count("*").alias("n"))
+    g = t.groupBy("doc_id", "norm").agg(F.count("*").alias("forms"), F.sum("n").alias("n"), F.min_by("token", F.struct(-F.col("n"), F.col("token"))).alias("canonical"))
+    return g.filter("forms > 1")

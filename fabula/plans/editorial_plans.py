@@ -265,3 +265,21 @@ def glossary_lookups(spark, sf_dir):
     terms = a.select(F.col("alert_type").alias("term")).distinct()
     spelled = terms.select("term", F.explode(F.array("term", F.upper("term"), F.concat("term", F.lit("s")))).alias("word"))
     return a.select("alert_id", F.split("title", " ")[0].alias("word")).join(spelled, "word").groupBy("alert_id").agg(F.min("term").alias("term"))
+
+
+@query(f"""WITH {TOK}, w AS (SELECT doc_id, token_lc AS w, count(*) AS n FROM tok GROUP BY 1, 2), s AS (SELECT doc_id, n, greatest(1, len(regexp_extract_all(w, '[aeiouáéíóúü]+')) + coalesce(list_sum(list_transform(regexp_extract_all(w, '[aeoáéó]{{2,}}'), lambda g: length(g) - 1)), 0)) AS s FROM w)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, round(coalesce(sum(n) FILTER (s <= 2), 0) / sum(n), 6) AS simple, round(coalesce(sum(n) FILTER (s >= 4), 0) / sum(n), 6) AS complex, round(count(*) / sum(n), 6) AS diversity FROM s GROUP BY 1""")
+def word_difficulty(spark, sf_dir):
+    return D.word_difficulty(_docs(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events), k AS (SELECT * FROM l WHERE event_type <> 'error' AND nx IS DISTINCT FROM 'error'),
+r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_actions FROM k QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, n_actions, event_id, event_type, value FROM r""")
+def state_after_undo(spark, sf_dir):
+    return D.after_undo(load(spark, sf_dir, "events"), "error")
+
+
+@query(f"""WITH {TOK}, t AS (SELECT doc_id, trim(translate(lower(token), 'áéíóúüñ', 'aeiouun')) AS norm, token, count(*) AS n FROM tok WHERE regexp_matches(token, '^[A-ZÁÉÍÓÚÑ]') AND length(token) >= 3 GROUP BY 1, 2, 3)
+SELECT doc_id, norm, count(*) AS forms, CAST(sum(n) AS BIGINT) AS n, arg_min(token, row(-n, token)) AS canonical FROM t GROUP BY 1, 2 HAVING count(*) > 1""")
+def spelling_variants(spark, sf_dir):
+    return D.equal_spellings(_docs(spark, sf_dir))

@@ -73,3 +73,11 @@ def test_empty_and_null_texts(spark):
     for f in (editorial.paragraph_duplicates, editorial.scene_stats, editorial.attributions, editorial.prefix_search, editorial.found_mentions, lambda d: editorial.register_scores(d, {"a": ("x",), "b": ("y",)}), lambda d: editorial.paragraph_diffs(d, d), lambda d: editorial.speech_kinds(d, "dash")):
         f(odd).collect()
         assert f(none).count() == 0
+
+
+def test_undo_difficulty_and_spellings(spark):
+    log = spark.createDataFrame([(1, 1, "a", 1.0, 1), (1, 2, "b", 2.0, 2), (1, 3, "undo", 0.0, 3), (1, 4, "undo", 0.0, 4), (2, 5, "undo", 0.0, 1)], "user_id long, event_id long, event_type string, value double, ts long")
+    assert [tuple(r) for r in editorial.after_undo(log, "undo").collect()] == [(1, 1, 1, "a", 1.0)]
+    r = editorial.word_difficulty(docs(spark, "sol sol mariposa", None)).first()
+    assert (r.n_words, r.simple, r.complex, r.diversity) == (3, round(2 / 3, 6), round(1 / 3, 6), round(2 / 3, 6))
+    assert [(r.norm, r.forms, r.canonical) for r in editorial.equal_spellings(docs(spark, "Ávila Avila Ávila Toledo", "")).collect()] == [("avila", 2, "Ávila")]

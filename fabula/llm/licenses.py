@@ -5,18 +5,21 @@ texts are read in windows of `WINDOW` shingles, one every `STRIDE`, so that ever
 some window. The one-permutation MinHash of a window keeps the least hash in each of `BANDS` ranges of the hash
 space, and each of these is a band. A segment of 8 shingles among a window's 20 shares a given occupied band with odds of about 0.7, and
 occupies six or seven of 16, so a window misses a segment with odds below 0.001, and a template has several segments.
-Templates too short for a segment are looked up by windows of one shingle, whose only band is the shingle itself.
+A template of fewer than `SEGMENT` shingles fills no window's bands reliably, so its windows are one shingle long and their
+only band is that shingle, which is found with certainty.
 
-Retrieved windows are then intersected with the whole template, and a match needs at least `CONTAINED` of the
-template's distinct shingles. DataFrame functions only; the templates are a parameter, counted before they are broadcast.
+Whatever a key retrieves is confirmed exactly: the template's distinct shingles are intersected with those of the whole
+text, and a match needs at least `CONTAINED` of them. DataFrame functions only; the templates are a parameter, counted
+before they are broadcast.
 
 Defined cases: a null, empty or wordless text has no matches; templates without words are ignored; a template shorter
-than a shingle is one shingle; repeated document rows give a match each; an empty table gives no rows; extra columns are ignored.
+than a shingle is one shingle; equal document rows (doc_id and text) give a match once; very long texts are read whole
+within their row; templates that tie are all returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm.common import ALNUM_BREAKS, broadcast_if_small, let, words
@@ -60,55 +63,63 @@ def _grams(h: Column, n: int) -> Column:
 def _least_by_band(g: Column) -> Column:
     """The least hash in each occupied range of the hash space: in a sorted array, whatever starts a new range."""
     band = lambda x: F.shiftright(x, 64 - BANDS_BITS)
-    return let(F.array_sort(g), lambda s: F.filter(s, lambda x, i: (i == 0) | (band(x) != band(F.get(s, i - 1)))))
+    return let(F.sort_array(g), lambda s: F.filter(s, lambda x, i: (i == 0) | (band(x) != band(F.get(s, i - 1)))))
 
 
-def _windows(g: Column) -> Column:
-    """(first, key, grams) of every band of every window of a text's shingles."""
+def _bands(g: Column) -> Column:
+    """The band keys of the windows over a text's shingles."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(g) - 1, F.lit(0)), F.lit(STRIDE))
-    window = lambda i: F.slice(g, i + 1, F.lit(WINDOW))
-    return F.flatten(F.transform(starts, lambda i: let(window(i), lambda w: F.transform(_least_by_band(w), lambda k: F.struct(i.alias("first"), k.alias("key"), w.alias("grams"))))))
+    return F.flatten(F.transform(starts, lambda i: _least_by_band(F.slice(g, i + 1, F.lit(WINDOW)))))
 
 
 def templates(spark: SparkSession, named: dict[str, str] | None = None) -> DataFrame:
-    """license, grams (distinct shingle hashes), n, cls: 'long', 'short' or the number of words of one under a shingle."""
+    """license, template (distinct shingle hashes), n, width (words in a shingle) and key, a row for each key that retrieves it."""
     rows = spark.createDataFrame(list((named or TEMPLATES).items()), "license string, text string")
     rows = rows.select("license", words(F.col("text"), ALNUM_BREAKS).alias("ws")).filter(F.size("ws") > 0)
-    h = F.transform("ws", lambda w: F.xxhash64(w))
-    tiny = F.when(F.size("ws") == 1, _grams(h, 1)).when(F.size("ws") == 2, _grams(h, 2)).when(F.size("ws") == 3, _grams(h, 3)).when(F.size("ws") == 4, _grams(h, 4))
-    rows = rows.withColumn("ordered", F.when(F.size("ws") >= SHINGLE, _grams(h, SHINGLE)).otherwise(tiny))
-    cls = F.when(F.size("ws") < SHINGLE, F.size("ws").cast("string")).when(F.size("ordered") < SEGMENT, "short").otherwise("long")
-    return rows.select("license", F.array_distinct("ordered").alias("grams"), "ordered", F.size(F.array_distinct("ordered")).alias("n"), cls.alias("cls"))
-
-
-def _template_keys(t: DataFrame) -> DataFrame:
-    """license, grams, n, cls and the band keys of its segments."""
+    rows = rows.select("license", F.transform("ws", lambda w: F.xxhash64(w)).alias("h"), F.least(F.size("ws"), F.lit(SHINGLE)).alias("width"))
+    ordered = F.coalesce(*[F.when(F.col("width") == n, _grams(F.col("h"), n)) for n in range(1, SHINGLE + 1)])
+    rows = rows.select("license", "width", ordered.alias("ordered")).withColumn("template", F.array_distinct("ordered"))
     segments = F.transform(F.sequence(F.lit(0), F.size("ordered") - SEGMENT), lambda i: _least_by_band(F.slice("ordered", i + 1, F.lit(SEGMENT))))
-    keys = F.when(F.col("cls") == "long", F.array_distinct(F.flatten(segments))).otherwise(F.col("grams"))
-    return t.withColumn("key", F.explode(keys)).select("license", F.col("grams").alias("template"), "n", "cls", "key")
+    keys = F.when(F.size("ordered") >= SEGMENT, F.array_distinct(F.flatten(segments))).otherwise(F.col("template"))
+    return rows.select("license", "template", F.size("template").alias("n"), "width", F.explode(keys).alias("key"))
 
 
 def scan(docs: DataFrame, named: dict[str, str] | None = None) -> DataFrame:
-    """A row for each document row and template that it holds: doc_id, text_hash, license, first_word, containment."""
-    spark = docs.sparkSession
-    keys = _template_keys(templates(spark, named))
-    sizes = sorted(int(r[0]) for r in keys.select("cls").distinct().collect() if r[0].isdigit())
-    keys = broadcast_if_small(keys)
-    none = F.array().cast("array<struct<cls:string,first:int,key:bigint,grams:array<bigint>>>")
+    """A row for each document and template that it holds: doc_id, text_hash, license, first_word, containment.
+
+    Retrieval and containment stay within a document's row; only matches are shuffled."""
+    keys = templates(docs.sparkSession, named)
+    # the templates came from the driver as a parameter, so their keys may return to it
+    known = {n: [r.key for r in g] for n, g in _by_width(keys.select("width", "key").distinct().collect()).items()}
+
+    def retrieved(h: Column) -> Column:
+        """(width, key, grams) of every template key among the keys of a text's windows."""
+        none = F.array().cast("array<struct<width:int,key:bigint,grams:array<bigint>>>")
 
-    def singles(g: Column, cls: str) -> Column:
-        return F.transform(g, lambda x, i: F.struct(F.lit(cls).alias("cls"), i.alias("first"), x.alias("key"), F.array(x).alias("grams")))
+        def of_width(n: int) -> Column:
+            seen = (lambda g: F.concat(g, _bands(g))) if n == SHINGLE else (lambda g: g)
+            found = let(_grams(h, n), lambda g: F.transform(F.array_intersect(seen(g), _literal(known[n])), lambda k: F.struct(F.lit(n).alias("width"), k.alias("key"), g.alias("grams"))))
+            return F.when(F.size(h) >= n, found).otherwise(none)
 
-    def found(h: Column) -> Column:
-        parts = [F.when(F.size(h) >= n, singles(_grams(h, n), str(n))).otherwise(none) for n in sizes]
-        whole = let(_grams(h, SHINGLE), lambda g: F.concat(singles(g, "short"), F.transform(_windows(g), lambda w: F.struct(F.lit("long").alias("cls"), w["first"].alias("first"), w["key"].alias("key"), w["grams"].alias("grams")))))
-        return F.concat(*parts, F.when(F.size(h) >= SHINGLE, whole).otherwise(none))
+        return F.concat(none, *[of_width(n) for n in sorted(known)])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text"), ALNUM_BREAKS).alias("ws"))
-    hits = rows.select("doc_id", "text_hash", F.explode(let(F.transform("ws", lambda w: F.xxhash64(w)), found)).alias("f")).select("doc_id", "text_hash", F.col("f.cls").alias("cls"), F.col("f.first").alias("first"), F.col("f.key").alias("key"), F.col("f.grams").alias("grams"))
-    hits = hits.join(keys, ["cls", "key"]).select("doc_id", "text_hash", "license", "n", "first", F.array_intersect("grams", "template").alias("shared")).withColumn("shared", F.explode("shared"))
-    held = hits.groupBy("doc_id", "text_hash", "license", "n").agg(F.countDistinct("shared").alias("shared"), F.min("first").alias("first_word"))
-    return held.filter(F.col("shared") >= CONTAINED * F.col("n")).select("doc_id", "text_hash", "license", "first_word", (F.col("shared") / F.col("n")).alias("containment"))
+    hits = rows.select("doc_id", "text_hash", F.inline(let(F.transform("ws", lambda w: F.xxhash64(w)), retrieved)))
+    held = hits.join(broadcast_if_small(keys), ["width", "key"]).withColumn("shared", F.array_intersect("grams", "template")).filter(F.size("shared") >= CONTAINED * F.col("n"))
+    first = F.array_min(F.transform("shared", lambda x: F.array_position("grams", x))) - 1
+    return held.select("doc_id", "text_hash", "license", first.alias("first_word"), (F.size("shared") / F.col("n")).alias("containment")).distinct()
+
+
+def _by_width(rows: list[Row]) -> dict[int, list[Row]]:
+    out: dict[int, list[Row]] = {}
+    for r in rows:
+        out.setdefault(r.width, []).append(r)
+    return out
+
+
+def _literal(keys: list[int]) -> Column:
+    """The keys as one constant array."""
+    return F.split(F.lit(",".join(map(str, keys))), ",").cast("array<bigint>")
 
 
 def digest(docs: DataFrame, named: dict[str, str] | None = None) -> DataFrame:

@@ -33,3 +33,14 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert L.digest(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_repeated_rows_scattered_shingles_and_templates_of_every_length(spark):
+    ws = [f"w{i}" for i in range(60)]
+    named = {f"t{n}": " ".join(ws[:n]) for n in (1, 2, 3, 4, 5, 6, 9, 11, 12, 13, 20, 60)} | {"none": "?!", "repeated": "again and " * 15}
+    # the shingles of a template in reverse order, far apart: containment is of the whole text, not of one window
+    scattered = " ".join(" ".join(ws[i : i + 5]) + " gap" * 50 for i in reversed(range(56)))
+    docs = [(n, " ".join(["x"] * n + ws[:n]), "x", 0) for n in range(0, 61)] + [(7, " ".join(["x"] * 7 + ws[:7]), "x", 0)] * 3 + [(100, scattered, "x", 0), (101, "again and " * 3000, "x", 0)]
+    got = [(r.doc_id, r.license, r.containment) for r in L.digest(spark.createDataFrame(docs, DOCS), named).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(docs, named)
+    assert L.digest(spark.createDataFrame(docs, DOCS), {"none": "?!"}).count() == 0

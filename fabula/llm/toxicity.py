@@ -3,15 +3,17 @@
 Texts are folded first: lower case, homoglyphs to Latin letters, digits and signs that stand for letters inside words.
 The lexicon is learned from labelled rows: a folded word, or a stem (a word beginning that branches into several words), gets
 as weight its log-odds in toxic against clean documents. A match counts at a word's start (a whole word also at its
-end) and unless it lies in an exception phrase. The sum of weights, normalised by the logarithm of the text's length, goes
-through a logistic curve fitted on the same rows. Whole texts are matched.
+end) and unless it lies in an exception phrase. A seed word that no labelled clean text holds counts with `MIN_WEIGHT` at least. The sum of weights, normalised by the logarithm of the text's length, goes
+through a logistic curve fitted on the same rows, drawn towards `PRIOR`, so that few labels or none go the same way as many.
+Whole texts are matched.
 
-Learning takes at most about `TRAIN_ROWS` labelled rows, drawn by a hash of doc_id; the lexicon holds at most `MAX_TERMS`
-entries. Both bounds make what reaches the driver, and is broadcast, bounded. Scoring is one pass without a shuffle.
+Learning takes at most about `TRAIN_ROWS` labelled rows, drawn by a hash of doc_id. An entry of the lexicon needs several
+toxic rows among them, which bounds what reaches the driver and is broadcast. Scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text scores as one without matches; a null doc_id is not held out and has no label;
-several labels of one document count as toxic if any does; null labels are ignored; with fewer than `MIN_TOXIC` toxic
-rows the seed lexicon and a fixed curve are used; an empty table gives no rows; extra columns are ignored.
+several labels of one document count as toxic if any does; null labels are ignored; without labels the seed words and the
+curve `PRIOR` remain; repeated rows get equal scores; terms that tie are all kept; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,10 @@ from pyspark.sql import functions as F
 from fabula.llm.common import broadcast_if_small
 
 TRAIN_ROWS = 30_000
-MAX_TERMS = 20_000
-MIN_TOXIC = 8
 MIN_WEIGHT = 2.5
 STEM_CHARS = range(3, 9)
 STEM_BRANCHES = 3
+PRIOR = (3.0, -1.5)  # slope and offset of the curve before any label
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 HOMOGLYPHS = {
@@ -120,14 +121,15 @@ def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """A logistic curve through one value, by Newton steps with a small ridge."""
+    """A logistic curve through one value, by Newton steps with a small ridge around the prior curve."""
     scale = max(float(np.abs(x).max(initial=0)), 1e-9)
     a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    b = np.zeros(2)
-    for _ in range(30):
+    prior, ridge = np.array([PRIOR[0] * scale, PRIOR[1]]), np.array([1e-2, 1e-3])
+    b = prior.copy()
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        h = a.T @ (a * (p * (1 - p))[:, None]) + np.diag([1e-2, 1e-3])
-        b += np.clip(np.linalg.solve(h, a.T @ (y - p) - np.array([1e-2, 1e-3]) * b), -5, 5)
+        h = a.T @ (a * (p * (1 - p))[:, None]) + np.diag(ridge)
+        b += np.clip(np.linalg.solve(h, a.T @ (y - p) - ridge * (b - prior)), -5, 5)
     return float(b[0] / scale), float(b[1])
 
 
@@ -140,20 +142,20 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     rows = docs.select("doc_id", "text").join(broadcast_if_small(marks, min(n, train_rows)), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = totals.get(1, 0), totals.get(0, 0)
-    if n_bad < MIN_TOXIC:
-        return Model(dict.fromkeys(SEED, 1.0), {}, EXCEPTIONS, 40.0, -1.5)
     counts = rows.select("text", "toxic").mapInArrow(_features, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     weight = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
-    words = counts.filter(~F.contains(F.col("feature"), F.lit("*")) & (F.col("bad") >= 3)).withColumn("weight", weight)
+    words = counts.filter(~F.contains(F.col("feature"), F.lit("*"))).withColumn("weight", weight)
     stem = F.substring_index("feature", "*", 1)
     stems = counts.filter(F.contains(F.col("feature"), F.lit("*"))).groupBy(stem.alias("feature")).agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("branches")).filter(f"bad >= 5 and branches >= {STEM_BRANCHES}").withColumn("weight", weight)
-    top = lambda df: df.filter(F.col("weight") >= MIN_WEIGHT).orderBy(F.desc("bad"), "feature").limit(MAX_TERMS // 2).select("feature", "weight").collect()
+    enough = F.col("weight") >= MIN_WEIGHT
     chosen: dict[str, float] = {}
-    for r in sorted(top(stems), key=lambda r: len(r.feature)):  # the most general stem stands for those it begins
+    for r in sorted(stems.filter(enough).select("feature", "weight").collect(), key=lambda r: (len(r.feature), r.feature)):  # the most general stem stands for those it begins
         if not any(r.feature[:i] in chosen for i in STEM_CHARS):
             chosen[r.feature] = r.weight
-    terms = {r.feature: r.weight for r in top(words) if not any(r.feature[:i] in chosen for i in STEM_CHARS)}
+    found = words.filter((F.col("bad") >= 3) & enough | F.col("feature").isin(*SEED)).select("feature", "weight", "good").collect()
+    weights = dict.fromkeys(SEED, MIN_WEIGHT) | {r.feature: r.weight if r.good else max(r.weight, MIN_WEIGHT) for r in found}
+    terms = {f: w for f, w in weights.items() if w >= MIN_WEIGHT and not any(f[:i] in chosen for i in STEM_CHARS)}
     model = Model(terms, chosen, EXCEPTIONS, 1.0, 0.0)
     seen = _loads(rows.select("doc_id", "text", "toxic"), model).select("toxic", "x").toPandas()
     return model._replace(**dict(zip(("slope", "offset"), _curve(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float)), strict=True)))

@@ -33,3 +33,15 @@ def test_registry():
     names = registry.queries()
     assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{i}" for i in range(1, 11))])
     assert set(registry.oracles()) <= set(names)
+
+
+def test_empty_tables_repeated_rows_and_clashing_columns(spark, tmp_path):
+    text = " ".join("w%d" % k for k in range(30))
+    docs = "doc_id long, text string, lang string, source string, n_chars long, toxic int, component_id long"
+    other = {"labels": ([], "doc_id long, quality int, toxic int"), "benchmark": ([], "item_id long, text string")}
+    for folder, rows in (("none", []), ("some", [(7, text, "en", "s", 1, 1, 2), (7, text, "en", "s", 1, 1, 2), (8, text, "en", None, 1, None, None), (None, "other words", None, "s", 1, 0, 0)])):
+        for name, (r, schema) in ({"documents": (rows, docs)} | other).items():
+            spark.createDataFrame(r, schema).write.parquet(f"{tmp_path}/{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    got = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()}
+    assert 7 in got and 8 not in got

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -49,3 +50,34 @@ def test_exceptions_boundaries_and_no_labels(spark):
 
 def test_fold():
     assert X.fold("1D10T") == "idiot" and X.fold("year 1999, 455 kg") == "year 1999, 455 kg" and X.fold("ｓcum") == "scum"
+
+
+def naive(text, model):
+    """The load of a text by looking for every term at every position."""
+    folded = X.fold(text or "")
+    at = lambda t: [i for i in range(len(folded)) if folded.startswith(t, i) and not (i and folded[i - 1].isalnum())]
+    ends = lambda i, t: i + len(t) == len(folded) or not folded[i + len(t)].isalnum()
+    covered = [(i, i + len(t)) for t in model.exceptions for i in at(t) if ends(i, t)]
+    found = [(i, t, w) for t, w in model.stems.items() for i in at(t)] + [(i, t, w) for t, w in model.terms.items() for i in at(t) if ends(i, t)]
+    return sum(w for i, t, w in found if not any(s <= i and i + len(t) <= e for s, e in covered)) / math.log2(8 + len(folded))
+
+
+def test_matches_against_brute_force():
+    g = random.Random(7)
+    model = X.Model({"ab": 2.0, "ab ba": 3.0, "b": 1.0}, {"aba": 2.5, "bb": 1.5}, ("ab b", "bb a"), 1.0, 0.0)
+    a = X.matcher(model)
+    for _ in range(500):
+        text = "".join(g.choice("aabb @4 ") for _ in range(g.randrange(1, 40)))
+        assert abs(X.load(text, a) - naive(text, model)) < 1e-9, text
+
+
+def test_repeated_rows_ties_and_few_labels(spark):
+    docs = [(1, "vexo tarn", 0, ""), (1, "vexo tarn", 0, ""), *((i, "vexo tarn idiot", 0, "") for i in (2, 3, 4)), *((i, "calm words pathetic", 0, "") for i in range(10, 60))]
+    labels = [(i, 1, 1) for i in (2, 3, 4)] + [(2, 1, 1), (2, 1, None)] + [(i, 1, 0) for i in range(10, 60)]
+    d = spark.createDataFrame(docs, DOCS)
+    model = X.learn(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = {i for i in (2, 3, 4) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert ({"vexo", "tarn"} <= set(model.terms)) == (len(held) == 0)  # three toxic rows or more; terms that tie are all kept
+    assert "idiot" in model.terms and "moron" in model.terms and "pathetic" not in model.terms  # labelled clean texts outweigh a seed word
+    got = X.scores(d, model).collect()
+    assert len(got) == len(docs) and len({r.score for r in got if r.doc_id == 1}) == 1

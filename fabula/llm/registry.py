@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fabula.llm import ann, chat, decontaminate, html_text, licenses, lm, neardup, packing, shards, toxicity
+from fabula.llm import ann, chat, decontaminate, html_text, licenses, lm, neardup, packing, periodic, repair, shards, token_counts, toxicity
 from fabula.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     numbered = (
-        op1_decontaminate, op2_licenses, op3_chat, op4_shards, op5_html, op6_language_model, op7_neardup, op8_nearest, op9_packing, op10_toxicity)
+        op1_decontaminate, op2_licenses, op3_chat, op4_shards, op5_html, op6_language_model, op7_neardup, op8_nearest, op9_packing, op10_toxicity,
+        op11_periodic, op12_tokens, op13_repair)
     return {f.__name__: f for f in numbered} | {"pipeline": corpus_pipeline.run}
 
 

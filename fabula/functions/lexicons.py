@@ -17,6 +17,8 @@ CONFUSED = (("haber", "ver"), ("halla", "haya"), ("echo", "hecho"), ("tubo", "tu
 PERIODS = (("antigüedad", -3000, 476), ("edad media", 476, 1492), ("edad moderna", 1492, 1789), ("siglo xix", 1800, 1900), ("siglo xx", 1900, 2000), ("contemporánea", 1789, 2100))
 NUMBER_WORDS = {
     "un": 1, "una": 1, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10, "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15,
-    "veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "algunos": 3, "varios": 3, "pocos": 2, "muchos": 10}
-UNIT_DAYS = {"día": 1.0, "semana": 7.0, "mes": 30.0, "año": 365.0, "hora": 0.042}
+    "veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "cien": 100}
+VAGUE_NUMBERS = ("unos", "unas", "algunos", "algunas", "varios", "varias", "pocos", "pocas", "muchos", "muchas")
+#: Days of a unit of time; without accents, as units are looked up in plain text.
+UNIT_DAYS = {"minuto": 1 / 1440, "hora": 1 / 24, "dia": 1.0, "semana": 7.0, "quincena": 15.0, "mes": 30.0, "ano": 365.0, "decada": 3650.0, "siglo": 36500.0}
 EARLIEST_YEAR = {"teléfono": 1876, "televisión": 1927, "internet": 1983, "tren": 1804, "automóvil": 1886, "avión": 1903, "radio": 1895, "ordenador": 1941, "fotografía": 1839, "telégrafo": 1837}

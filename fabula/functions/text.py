@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +20,31 @@ def empty_as(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row: where a lambda refers to a column, Spark computes that column again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_accents(text: Column, keep_enye: bool = True) -> Column:
     return F.translate(text, ACCENTED + ("" if keep_enye else "ñÑ"), PLAIN + ("" if keep_enye else "nN"))
 
 
+#: What plain() maps: capitals and accented letters, each to one letter, so that offsets stay.
+_ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+PLAIN_FROM, PLAIN_TO = _ASCII_UPPER + ACCENTED + "ñÑ", _ASCII_UPPER.lower() + PLAIN.lower() + "nn"
+WORD_CHARS = "0-9A-Za-z_"
+
+
+def plain(text: Column) -> Column:
+    """Lower case without accents, character by character: for patterns written in plain ASCII, with the text's own offsets."""
+    return F.translate(empty_as(text), PLAIN_FROM, PLAIN_TO)
+
+
+def whole_words(pattern: str) -> str:
+    """The pattern where no ASCII word character adjoins; the same as \\b on both sides in engines without look-around."""
+    return f"(?<![{WORD_CHARS}])(?:{pattern})(?![{WORD_CHARS}])"
+
+
 def normalize_name(name: Column) -> Column:
     """Without accents, lower case, single spaces; ñ becomes n."""
     return F.trim(F.regexp_replace(strip_accents(F.lower(name), keep_enye=False), r"\s+", " "))
@@ -42,8 +65,8 @@ def sentences(text: Column, least_tail: int = 10) -> Column:
     Ends are marked in one pass and the text is split there, so that a long run without marks is read once."""
     plain = F.translate(empty_as(text), END, " ")
     parts = F.split(F.regexp_replace(plain, r"((?<![.!?])[.!?]++(?:\s|\z|[\"')»]))", "$1" + END), END)
-    trimmed = F.transform(parts, lambda s: F.btrim(s, F.lit(SPACE)))
-    return F.filter(trimmed, lambda s, i: (s != "") & ((F.length(s) >= least_tail) | (i < F.size(parts) - 1)))
+    whole = lambda trimmed: F.filter(trimmed, lambda s, i: (s != "") & ((F.length(s) >= least_tail) | (i < F.size(trimmed) - 1)))
+    return let(F.transform(parts, lambda s: F.btrim(s, F.lit(SPACE))), whole)
 
 
 def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:

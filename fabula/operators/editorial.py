@@ -256,3 +256,31 @@ def equal_spellings(docs: DataFrame) -> DataFrame:
     t = tables.tokens(docs).filter(F.col("token").rlike("^[A-ZÁÉÍÓÚÑ]") & (F.length("token") >= 3)).groupBy("doc_id", T.normalize_name(F.col("token")).alias("norm"), "token").agg(F.count("*").alias("n"))
     g = t.groupBy("doc_id", "norm").agg(F.count("*").alias("forms"), F.sum("n").alias("n"), F.min_by("token", F.struct(-F.col("n"), F.col("token"))).alias("canonical"))
     return g.filter("forms > 1")
+
+
+#: How a sentence takes up the one before it, by its first words in plain text, and how surely its subject goes on.
+CONTINUITY = {
+    "subject_pronoun": (0.8, ("el", "ella", "ellos", "ellas", "este", "esta", "aquel", "aquella")), "sequence": (0.7, ("luego", "entonces", "despues", "enseguida", "al rato", "mas tarde", "por fin")),
+    "consequence": (0.6, ("por eso", "asi que", "por tanto", "de ahi que", "pues")), "contrast": (0.5, ("pero", "aunque", "en cambio", "con todo", "sin embargo", "aun asi")),
+    "possessive": (0.5, ("su", "sus", "he", "she", "his", "her", "they", "il", "elle", "son", "sa", "er", "sie", "sein", "seine", "ihr"))}
+_GERUND = "[a-z]{2,}(?:ando|iendo|yendo)"
+
+
+def _continuity_pattern(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(w.replace(" ", " +") for w in words) + ")"
+
+
+def continuity_signals(docs: DataFrame) -> DataFrame:
+    """doc_id, sent_idx, kind, score of the sentences after a text's first that begin by taking up the one before: the surest kind of each."""
+    low = T.plain(F.col("text"))
+    starts = lambda p: F.regexp_like(low, F.lit(f"^[^a-z0-9]*{p}(?![{T.WORD_CHARS}])"))
+    kinds = [(k, score, _continuity_pattern(words)) for k, (score, words) in CONTINUITY.items()] + [("gerund", 0.4, _GERUND)]
+    kind = F.coalesce(*[F.when(starts(p), F.struct(F.lit(k).alias("kind"), F.lit(score).alias("score"))) for k, score, p in kinds])
+    return tables.sentences(docs).filter("sent_idx > 0").select("doc_id", "sent_idx", kind.alias("k")).filter("k is not null").select("doc_id", "sent_idx", "k.kind", "k.score")
+
+
+def continuity_sql(sentences: str) -> str:
+    kinds = [(k, score, _continuity_pattern(words)) for k, (score, words) in CONTINUITY.items()] + [("gerund", 0.4, _GERUND)]
+    case = lambda i: "CASE " + " ".join(f"WHEN regexp_matches(t, '^[^a-z0-9]*{k[2]}\\b') THEN {repr(k[i]) if i == 0 else f'CAST({k[i]} AS DOUBLE)'}" for k in kinds) + " END"
+    return f"""WITH {sentences}, p AS (SELECT doc_id, sent_idx, translate(text, '{T.PLAIN_FROM}', '{T.PLAIN_TO}') AS t FROM sent WHERE sent_idx > 0), k AS (SELECT doc_id, sent_idx, {case(0)} AS kind, {case(1)} AS score FROM p)
+SELECT * FROM k WHERE kind IS NOT NULL"""

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,94 +11,150 @@ from fabula.operators.texts import MONTHS, years
 from fabula.sources import tables
 from fabula.sources.tables import in_reading_order
 
-_MONTH = "(" + "|".join(MONTHS) + ")"
-_UNIT = "(días?|semanas?|meses|mes|años?|horas?)"
-_MANY = "(\\d+|un|una|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|algunos|varios|pocos|muchos)"
-# Kinds of time markers in order of precedence, with their confidence. The first pattern to take a place in a text keeps it.
-MARKERS = (
-    ("absolute_date", f"\\d{{1,2}}\\s+de\\s+{_MONTH}\\s+de\\s+\\d{{4}}", 0.95),
-    ("absolute_date", f"{_MONTH}\\s+de\\s+\\d{{4}}", 0.9),
-    ("absolute_date", "el\\s+año\\s+\\d{4}", 0.95),
-    ("absolute_date", "en\\s+(19\\d{2}|20[0-2]\\d)", 0.85),
-    ("absolute_date", "(19\\d{2}|20[0-2]\\d)", 0.6),
-    ("relative_time", f"{_MANY}\\s+{_UNIT}\\s+(después|antes|más\\s+tarde|atrás)", 0.9),
-    ("relative_time", "(al\\s+día\\s+siguiente|la\\s+noche\\s+anterior|la\\s+mañana\\s+siguiente|el\\s+día\\s+anterior)", 0.95),
-    ("relative_time", "(más\\s+tarde|poco\\s+después|mucho\\s+después|tiempo\\s+después)", 0.85),
-    ("relative_time", f"al\\s+cabo\\s+de\\s+{_MANY}\\s+{_UNIT}", 0.9),
-    ("relative_time", f"hace\\s+{_MANY}\\s+{_UNIT}", 0.9),
-    ("relative_time", f"dentro\\s+de\\s+{_MANY}\\s+{_UNIT}", 0.9),
-    ("season_epoch", "(aquel|aquella|ese|esa|el|la)\\s+(verano|invierno|otoño|primavera)", 0.9),
-    ("character_age", "(cuando\\s+ten[íi]a|a\\s+los|con|cumpli[óo]|ten[íi]a)\\s+\\d{1,3}\\s+años", 0.85),
-    ("duration", f"durante\\s+{_MANY}\\s+{_UNIT}", 0.9),
-    ("frequency", "(siempre|nunca|jamás|a\\s+veces|a\\s+menudo|de\\s+vez\\s+en\\s+cuando)", 0.85))
-
-
-def _bounded(pattern: str) -> str:
-    return f"(?iU)\\b(?:{pattern})\\b"
+
+def _either(*forms: str) -> str:
+    return "(?:" + "|".join(sorted(forms, key=len, reverse=True)) + ")"
+
+
+# The grammar of Spanish time expressions in plain text: parts first, then the shapes of each kind.
+MONTH = _either(*MONTHS)
+NUMBER = _either("[0-9]{1,3}", *L.NUMBER_WORDS, *L.VAGUE_NUMBERS)
+UNIT = _either(*L.UNIT_DAYS, *(u + "s" for u in L.UNIT_DAYS if u != "mes"), "meses")
+AMOUNT = f"{NUMBER} +{UNIT}"
+#: What follows or precedes an amount, or a named day, and turns it to the future or the past.
+AHEAD = {"after": ("despues", "mas tarde", "mas adelante"), "before": ("dentro de", "al cabo de", "en menos de", "tras"), "next": ("siguiente", "proximo", "proxima", "que viene")}
+BEHIND = {"after": ("antes", "atras"), "before": ("hace", "desde hace", "hara"), "next": ("anterior", "previo", "previa", "pasado", "pasada")}
+#: Set phrases and the days they move the story by.
+PHRASES = {"anteayer": -2.0, "ayer": -1.0, "anoche": -1.0, "hoy": 0.0, "esa misma noche": 0.0, "poco despues": 1 / 24, "al rato": 1 / 24, "mas tarde": 4 / 24, "pasado manana": 2.0, "poco antes": -1 / 24}
+_YEAR = "(?:1[0-9]{3}|20[0-2][0-9])"
+KINDS = {
+    "absolute_date": f"[0-9]{{1,2}} +de +{MONTH}(?: +del? +(?:ano +)?{_YEAR})?|{MONTH} +del? +(?:ano +)?{_YEAR}|ano +(?:de +)?{_YEAR}|(?:19[0-9]{{2}}|20[0-2][0-9])",
+    "character_age": f"(?:a +los|con|cumpl(?:ir|io|ia|e|en)|ten(?:ia|dria|er)|tuvo|tiene|edad +de) +{_either('[0-9]{1,3}', *L.NUMBER_WORDS)} +anos",
+    "relative_time": f"{_either(*AHEAD['before'], *BEHIND['before'])} +{AMOUNT}|{AMOUNT} +{_either(*AHEAD['after'], *BEHIND['after'])}"
+                     f"|(?:el|la|al|a +la) +(?:manana|tarde|noche|{UNIT}) +{_either(*AHEAD['next'], *BEHIND['next'])}|{_either(*PHRASES)}",
+    "duration": f"(?:durante|a +lo +largo +de|por +espacio +de) +{AMOUNT}|{AMOUNT} +(?:enter|seguid|complet)[oa]s?",
+    "season_epoch": "(?:aquel(?:la)?|es[ea]|est[ea]|el|la|en) +(?:(?:pasado|proximo) +)?(?:verano|otono|invierno|primavera|posguerra|infancia|juventud)",
+    "frequency": f"siempre|nunca|jamas|a +(?:veces|menudo|diario)|de +(?:vez|cuando) +en +(?:cuando|vez)|(?:rara|cada) +vez|cada +{UNIT}|tod[oa]s +l[oa]s +{UNIT}|a +menudo"}
+
+
+def located(docs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """doc_id, start, stop, kind, text (plain) of all whole-word hits of the kinds' patterns in the texts' plain form, from left to right without overlap.
+
+    The kinds are one alternation, so a text is read twice whatever their number, and of it only the lengths between hits travel on.
+    Of two kinds that begin at one place the first one named takes it."""
+    pattern = T.whole_words("|".join(f"(?:{p})" for p in kinds.values()))
+    plain = T.plain(F.col("text"))
+    gaps, hits = F.transform(F.split(plain, pattern, -1), lambda x: F.length(x)), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+    rows = docs.select("doc_id", gaps.alias("gaps"), hits.alias("hits")).filter(F.size("hits") > 0).select("doc_id", F.posexplode(F.arrays_zip("gaps", "hits")).alias("i", "z")).filter("z.hits is not null")
+    so_far = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum(F.col("z.gaps") + F.length("z.hits")).over(so_far)
+    found = rows.select("doc_id", (stop - F.length("z.hits")).alias("start"), stop.alias("stop"), F.col("z.hits").alias("text"))
+    kind = F.coalesce(*[F.when(F.regexp_like("text", F.lit(f"^(?:{p})$")), k) for k, p in kinds.items()])
+    return found.select("doc_id", "start", "stop", kind.alias("kind"), "text")
+
+
+def located_sql(kinds: dict[str, str], table: str = "documents") -> str:
+    """The same in SQL, as the body of a query."""
+    pattern = "\\b(?:" + "|".join(f"(?:{p})" for p in kinds.values()) + ")\\b"
+    cases = " ".join(f"WHEN regexp_full_match(text, '{p}') THEN '{k}'" for k, p in kinds.items())
+    return f"""SELECT doc_id, stop - length(text) AS start, stop, CASE {cases} END AS kind, text FROM (
+  SELECT doc_id, hit AS text, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM (
+    SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS gaps FROM (SELECT doc_id, translate(coalesce(text, ''), '{T.PLAIN_FROM}', '{T.PLAIN_TO}') AS t FROM {table}))))"""
 
 
 def marker_counts(docs: DataFrame) -> DataFrame:
-    """How often each kind's patterns occur in a text, overlaps between patterns included."""
-    t = T.empty_as(F.col("text"))
-    hits = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_count(t, F.lit(_bounded(p))).alias("n")) for kind, p, _ in MARKERS])
-    return docs.select("doc_id", F.explode(hits).alias("h")).filter("h.n > 0").groupBy("doc_id", "h.kind").agg(F.sum("h.n").alias("n"))
-
-
-def _spans(docs: DataFrame) -> DataFrame:
-    """All hits (doc_id, order, start, stop, kind, text, confidence). A text is split at a pattern's hits; running lengths are their offsets."""
-    t = T.empty_as(F.col("text"))
-    of = lambda k, kind, p, c: F.struct(
-        F.lit(k).alias("order"), F.lit(kind).alias("kind"), F.lit(c).alias("confidence"), F.split(t, _bounded(p), -1).alias("parts"), F.regexp_extract_all(t, F.lit(_bounded(p)), F.lit(0)).alias("hits"))
-    rows = docs.select("doc_id", F.explode(F.array(*[of(k, *m) for k, m in enumerate(MARKERS)])).alias("m")).filter(F.size("m.hits") > 0)
-    each = rows.select("doc_id", "m.order", "m.kind", "m.confidence", F.posexplode(F.arrays_zip(F.col("m.parts").alias("part"), F.col("m.hits").alias("hit"))).alias("i", "z"))
-    before = Window.partitionBy("doc_id", "order").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("z.part") + F.length("z.hit")).over(before), F.lit(0)) + F.length("z.part")
-    placed = each.select("doc_id", "order", "kind", "confidence", start.alias("start"), F.col("z.hit").alias("text")).filter("text is not null")
-    return placed.withColumn("stop", F.col("start") + F.length("text"))
-
-
-def _first_come(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A text's hits in order of precedence and place, those left out that overlap an earlier one."""
-    kept: list[tuple[int, int]] = []
-    rows = []
-    pdf = pdf.sort_values(["order", "start"])
-    for i, (start, stop) in enumerate(zip(pdf["start"].tolist(), pdf["stop"].tolist(), strict=True)):
-        at = bisect.bisect_left(kept, (start, stop))
-        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= stop):
-            kept.insert(at, (start, stop))
-            rows.append(i)
-    return pdf.iloc[rows].drop(columns="order")
+    """How many markers of each kind a text holds."""
+    return located(docs, KINDS).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+def _number(word: Column) -> Column:
+    words = F.create_map(*[F.lit(x) for pair in L.NUMBER_WORDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(words, word), word.try_cast("int"))
 
 
 def markers(docs: DataFrame) -> DataFrame:
-    """Time markers of texts with their values: doc_id, start, stop, kind, text, confidence, direction, quantity, unit, days, year, month, day, age.
-
-    Only a text's hits meet in one group, for precedence among overlapping ones; everything else stays in column expressions."""
-    schema = "doc_id long, kind string, confidence double, start long, text string, stop long"
-    found = _spans(docs).select("doc_id", "order", "kind", "confidence", F.col("start").cast("long").alias("start"), "text", F.col("stop").cast("long").alias("stop")).groupBy("doc_id").applyInPandas(_first_come, schema)
-    low = F.regexp_replace(F.lower("text"), "\\s+", " ")
-    has = lambda ws: F.lit(False) if not ws else low.rlike("|".join(ws))
-    relative = F.col("kind") == "relative_time"
-    direction = F.when(relative & has(["después", "siguiente", "más tarde", "al cabo", "dentro de"]), "future").when(relative & has(["antes", "anterior", "atrás", "hace"]), "past")
-    timed = F.col("kind").isin("relative_time", "duration")
-    word = F.regexp_extract(low, f"(?U)\\b{_MANY} {_UNIT}\\b", 1)
-    numbers = F.create_map(*[F.lit(x) for pair in L.NUMBER_WORDS.items() for x in pair])
-    quantity = F.when(timed & (word != ""), F.coalesce(F.try_element_at(numbers, word), word.try_cast("int")))
-    unit = F.when(timed & (word != ""), F.regexp_replace(F.rtrim(F.regexp_replace(F.regexp_extract(low, f"(?U)\\b{_MANY} {_UNIT}\\b", 2), "s$", " ")), "^me(se)?$", "mes"))
-    dated = F.col("kind") == "absolute_date"
-    year = F.when(dated, F.regexp_extract(low, "(\\d{4})", 1).try_cast("int"))
-    month = F.when(dated, F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, _MONTH, 1)), F.lit(0)).cast("int"))
-    day = F.when(dated, F.regexp_extract(low, "^(\\d{1,2}) de ", 1).try_cast("int"))
-    age = F.regexp_extract(low, "(\\d{1,3}) años", 1).try_cast("int")
-    out = found.select("*", direction.alias("direction"), quantity.alias("quantity"), unit.alias("unit"), year.alias("year"), month.alias("month"), day.alias("day"), F.when((F.col("kind") == "character_age") & (age <= 130), age).alias("age"))
-    return out.withColumn("days", offset_days(low, F.col("quantity"), F.col("unit"), relative))
-
-
-def offset_days(low: Column, quantity: Column, unit: Column, relative: Column) -> Column:
-    """The days a relative marker moves the story by: quantity times unit (a year is 365, an unknown unit 1), or that of a set phrase."""
+    """Time markers of texts with their values: doc_id, start, stop, kind, text, direction, quantity, unit, days, year, month, day, age, confidence.
+
+    Null where a marker doesn't say; a vague amount ("varios") has a unit but no quantity. Years are those from 1000 to 2029, ages go up to 130.
+    The more of its values a marker states, the surer it is: 0.6, and 0.1 for each of them up to 0.9."""
+    text = F.regexp_replace("text", " +", " ")
+    is_kind = lambda *ks: F.col("kind").isin(*ks)
+    part = lambda p, i: F.nullif(F.regexp_extract("plain", p, i), F.lit(""))
+    says = lambda words: F.regexp_like("plain", F.lit(rf"\b{_either(*words)}\b"))
+    amount = f"\\b({NUMBER}) ({UNIT})\\b"
+    phrases = F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair])
+    moved = F.when(is_kind("relative_time"), F.try_element_at(phrases, F.col("plain")))
+    turn = F.when(says([w for ws in AHEAD.values() for w in ws]), "future").when(says([w for ws in BEHIND.values() for w in ws]), "past")
+    direction = F.when(is_kind("relative_time"), F.when(moved.isNotNull(), F.when(moved > 0, "future").when(moved < 0, "past")).otherwise(turn))
+    named = part(f"^(?:el|la|al|a la) ({UNIT}|manana|tarde|noche) ", 1)
+    unit = F.when(is_kind("relative_time", "duration"), F.coalesce(part(amount, 2), F.when(moved.isNull(), named)))
+    unit = F.when(unit.isin("manana", "tarde", "noche"), "dia").when(unit.isin("mes", "meses"), "mes").otherwise(F.regexp_replace(unit, "s$", ""))
+    counted = part(amount, 1)
+    quantity = F.when(is_kind("relative_time", "duration"), F.when(counted.isNotNull(), _number(counted)).when(moved.isNull() & named.isNotNull(), 1))
+    dated = is_kind("absolute_date")
+    year = F.when(dated, part("([0-9]{4})", 1).cast("int"))
+    month = F.when(dated, F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), part(f"({MONTH})", 1)), F.lit(0)).cast("int"))
+    day = F.when(dated, part("^([0-9]{1,2}) de ", 1).cast("int"))
+    age = F.when(is_kind("character_age"), _number(part("([a-z0-9]+) anos$", 1)))
+    out = located(docs, KINDS).withColumn("plain", text).withColumns(
+        {"direction": direction, "quantity": quantity, "unit": unit, "moved": moved, "year": year, "month": month, "day": day, "age": F.when(age <= 130, age)})
     units = F.create_map(*[F.lit(x) for pair in L.UNIT_DAYS.items() for x in pair])
-    phrase = F.when(low.rlike("(día|mañana) siguiente|(noche|día) anterior"), 1.0).when(low.rlike("poco después"), 1 / 24).when(low.rlike("más tarde"), 4 / 24)
-    return F.when(relative, F.coalesce(quantity * F.coalesce(F.try_element_at(units, unit), F.lit(1.0)), phrase))
+    days = F.when(is_kind("relative_time"), F.coalesce("moved", F.col("quantity") * F.try_element_at(units, F.col("unit")) * F.when(F.col("direction") == "past", -1).otherwise(1)))
+    stated = sum((F.col(c).isNotNull().cast("int") for c in ("direction", "quantity", "unit", "year", "month", "day", "age")), F.lit(0))
+    return out.select(
+        "doc_id", "start", "stop", "kind", F.col("plain").alias("text"), "direction", "quantity", "unit", days.alias("days"), "year", "month", "day", "age", F.least(F.lit(9), stated + 6).cast("double").alias("tenths")
+    ).withColumn("confidence", F.col("tenths") / 10).drop("tenths")
+
+
+def markers_sql(table: str = "documents") -> str:
+    """The same in SQL, for engines without look-around."""
+    values = lambda pairs: "MAP {" + ", ".join(f"'{k}': {v}" for k, v in pairs) + "}"
+    numbers = values(L.NUMBER_WORDS.items())
+    number = lambda w: f"coalesce(element_at({numbers}, {w})[1], try_cast({w} AS INTEGER))"
+    part = lambda p, i: f"nullif(regexp_extract(text, '{p}', {i}), '')"
+    says = lambda d: f"regexp_matches(text, '\\b{_either(*(w for ws in d.values() for w in ws))}\\b')"
+    amount = f"\\b({NUMBER}) ({UNIT})\\b"
+    return f"""WITH h AS (SELECT doc_id, start, stop, kind, regexp_replace(text, ' +', ' ', 'g') AS text FROM ({located_sql(KINDS, table)})),
+m AS (SELECT *, kind = 'relative_time' AS rel, kind IN ('relative_time', 'duration') AS timed, CASE WHEN kind = 'relative_time' THEN element_at({values(PHRASES.items())}, text)[1] END AS moved,
+  {part(amount, 1)} AS counted, {part(amount, 2)} AS unit1, {part(f"^(?:el|la|al|a la) ({UNIT}|manana|tarde|noche) ", 1)} AS named FROM h),
+v AS (SELECT *, CASE WHEN rel THEN CASE WHEN moved > 0 THEN 'future' WHEN moved < 0 THEN 'past' WHEN moved IS NOT NULL THEN NULL WHEN {says(AHEAD)} THEN 'future' WHEN {says(BEHIND)} THEN 'past' END END AS direction,
+  CASE WHEN timed THEN coalesce(unit1, CASE WHEN moved IS NULL THEN named END) END AS u,
+  CASE WHEN timed THEN CASE WHEN counted IS NOT NULL THEN {number("counted")} WHEN moved IS NULL AND named IS NOT NULL THEN 1 END END AS quantity,
+  CASE WHEN kind = 'absolute_date' THEN CAST({part("([0-9]{4})", 1)} AS INTEGER) END AS year, CASE WHEN kind = 'absolute_date' THEN CAST(list_position({list(MONTHS)!r}, {part(f"({MONTH})", 1)}) AS INTEGER) END AS month,
+  CASE WHEN kind = 'absolute_date' THEN CAST({part("^([0-9]{1,2}) de ", 1)} AS INTEGER) END AS day, CASE WHEN kind = 'character_age' THEN {number(part("([a-z0-9]+) anos$", 1))} END AS age0 FROM m),
+w AS (SELECT *, CASE WHEN u IN ('manana', 'tarde', 'noche') THEN 'dia' WHEN u IN ('mes', 'meses') THEN 'mes' ELSE regexp_replace(u, 's$', '') END AS unit, CASE WHEN age0 <= 130 THEN age0 END AS age FROM v)
+SELECT doc_id, start, stop, kind, text, direction, quantity, unit, CASE WHEN rel THEN CAST(coalesce(moved, quantity * element_at({values(L.UNIT_DAYS.items())}, unit)[1] * CASE WHEN direction = 'past' THEN -1 ELSE 1 END) AS DOUBLE) END AS days, year, month, day, age,
+  least(9, 6 + {" + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in ("direction", "quantity", "unit", "year", "month", "day", "age"))}) / 10.0::DOUBLE AS confidence FROM w"""
+
+
+_PARTICIPLE = "(?:[a-z]+(?:ado|ido)|dicho|hecho|visto|puesto|vuelto|muerto|escrito|abierto|roto)"
+#: Signs that a text leaves the order of telling, by the verb forms that carry them: the pluperfect and verbs of memory look back, the conditional and
+#: periphrases of the future look ahead, the imperfect subjunctive after its particles leaves what happens.
+ORDER_SIGNALS = {
+    "retrospective": f"hab(?:ia|ias|iamos|ian) +(?:sido +)?{_PARTICIPLE}|(?:record|evoc|rememor|anor)(?:o|aba|aban|ando|aron)|{AMOUNT} +{_either(*BEHIND['after'])}|en +(?:aquel|aquella|aquellos|aquellas) +(?:dias|epoca|tiempos?|anos)",
+    "prospective": f"ib(?:a|an|amos) +a +[a-z]+[aei]r|habri(?:a|an) +de +[a-z]+[aei]r|{AMOUNT} +{_either(*AHEAD['after'])}|algun +dia|(?:todavia|aun) +no +sab(?:ia|ian)",
+    "hypothetical": "(?:como +si|si|ojala|quien) +(?:no +)?(?:se +|lo +|la +|le +)?(?:fuera|fuese|[a-z]+(?:iera|iese|ara|ase))[sn]?"}
+
+
+def chapter_orders(docs: DataFrame, least: int = 2) -> DataFrame:
+    """doc_id, chapter, a count for each kind of signal, and the order a chapter is told in.
+
+    retrospective or prospective where that signal comes at least `least` times and more often than the other one; mixed on a tie; else linear."""
+    chapters = tables.chapters(docs).select(F.struct("doc_id", "chapter").alias("doc_id"), "text")
+    n = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    counts = located(chapters, ORDER_SIGNALS).groupBy("doc_id").agg(*map(n, ORDER_SIGNALS))
+    back, ahead = F.col("retrospective"), F.col("prospective")
+    order = F.when(F.greatest(back, ahead) < least, "linear").when(back > ahead, "retrospective").when(ahead > back, "prospective").otherwise("mixed")
+    return counts.select("doc_id.doc_id", "doc_id.chapter", *ORDER_SIGNALS, order.alias("told"))
+
+
+def chapter_orders_sql(table: str = "documents", least: int = 2) -> str:
+    lines = f"(SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {table})"
+    chapters = f"(SELECT {{'doc_id': doc_id, 'chapter': c}} AS doc_id, array_to_string(ls[(c - 1) * {tables.CHAPTER_PARAGRAPHS} + 1 : c * {tables.CHAPTER_PARAGRAPHS}], chr(10)) AS text FROM (SELECT *, unnest(range(1, CAST(ceil(len(ls) / {tables.CHAPTER_PARAGRAPHS}.0) AS BIGINT) + 1)) AS c FROM {lines}))"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ORDER_SIGNALS)
+    return f"""SELECT doc_id.doc_id AS doc_id, doc_id.chapter AS chapter, {", ".join(ORDER_SIGNALS)}, CASE WHEN greatest(retrospective, prospective) < {least} THEN 'linear' WHEN retrospective > prospective THEN 'retrospective' WHEN prospective > retrospective THEN 'prospective' ELSE 'mixed' END AS told
+FROM (SELECT doc_id, {counts} FROM ({located_sql(ORDER_SIGNALS, chapters)}) GROUP BY 1)"""
 
 
 def anachronisms(docs: DataFrame, earliest: dict[str, int] = L.EARLIEST_YEAR) -> DataFrame:

@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from fabula.operators import corrections as C
 from fabula.operators import editorial as D
+from fabula.operators import temporal as P
 from fabula.operators import texts as X
 from fabula.plans.alert_plans import ALERTS, _alerts
 from fabula.plans.catalog import query
 from fabula.plans.model_plans import STATES
 from fabula.plans.story_plans import ENTITIES, INTERACTIONS, MARKERS, MENTIONS, _entities, _events, _interactions, _markers, _mentions
-from fabula.plans.style_plans import CHAP, QUOTED, SPEECH, TOK, WORD
+from fabula.plans.style_plans import CHAP, QUOTED, SENT, SPEECH, TOK, WORD
 from fabula.plans.text_plans import PARAS
 from fabula.sources.tables import load
 
@@ -236,25 +237,18 @@ def found_mentions(spark, sf_dir):
     return D.found_mentions(_docs(spark, sf_dir))
 
 
-# Spellings of the classical language, continuity cues, and terms of fields, as patterns without look-around.
-CLASSICAL = {"ph_for_f": "[a-z]*ph[aeiou][a-z]*", "ss_for_s": "[a-záéíóú]+ss[aeiou][a-z]*", "old_verb": "(?:dixo|fazer|fizo|agora|ansí|desto|della|dello|vuestra merced)", "que_for_cua": "qu[ao][a-z]+"}
-CONTINUITY = {
-    "gerund": "[.!?]\\s+[a-zñáéíóú]*(?:ando|endo)[^a-zñáéíóú]", "causal": "[.!?]\\s+(?:porque|ya que|puesto que|dado que|como) ", "temporal": "[.!?]\\s+(?:entonces|luego|después|acto seguido|a continuación) ",
-    "adversative": "[.!?]\\s+(?:sin embargo|no obstante|a pesar de|aun así) ", "possessive": "[.!?]\\s+sus? "}
+# Spellings of the classical language, in plain text.
+CLASSICAL = {"ph_for_f": "[a-z]*ph[aeiou][a-z]*", "ss_for_s": "[a-z]+ss[aeiou][a-z]*", "old_verb": "dixo|fazer|fizo|ansi|desto|della|dello|vuestra +merced", "que_for_cua": "qu[ao][a-z]+"}
 
 
-def _counted(rules):
-    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, n FROM (SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '{p}')) AS BIGINT) AS n FROM documents) WHERE n > 0" for k, p in rules.items())
-
-
-@query(_counted(CLASSICAL))
+@query(P.located_sql(CLASSICAL))
 def classical_spellings(spark, sf_dir):
-    return C.rule_counts(_docs(spark, sf_dir), CLASSICAL)
+    return P.located(_docs(spark, sf_dir), CLASSICAL)
 
 
-@query(_counted(CONTINUITY))
+@query(D.continuity_sql(SENT))
 def continuity_signals(spark, sf_dir):
-    return C.rule_counts(_docs(spark, sf_dir), CONTINUITY)
+    return D.continuity_signals(_docs(spark, sf_dir))
 
 
 @query(f"""WITH {ALERTS}, t AS (SELECT alert_id, title, alert_type FROM alerts), k AS (SELECT DISTINCT alert_type AS term FROM t), v AS (SELECT term, [term, upper(term), term || 's'] AS vs FROM k)

@@ -1,7 +1,6 @@
 """Temporal queries over `documents` and the timelines in `orders`."""
 
 from fabula.functions import lexicons as L
-from fabula.operators import corrections as C
 from fabula.operators import temporal as P
 from fabula.plans.catalog import query
 from fabula.plans.story_plans import EVENTS, ORDER, _events
@@ -13,38 +12,36 @@ def _docs(spark, d):
     return load(spark, d, "documents")
 
 
-@query("SELECT doc_id, kind, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(coalesce(text, ''), '(?i)\\b(?:{p})\\b')) AS n FROM documents" for k, p, _ in P.MARKERS) + ") WHERE n > 0 GROUP BY 1, 2")
+@query(f"SELECT doc_id, kind, count(*) AS n FROM ({P.located_sql(P.KINDS)}) GROUP BY 1, 2")
 def temporal_marker_counts(spark, sf_dir):
     return P.marker_counts(_docs(spark, sf_dir))
 
 
-@query()
+@query(P.markers_sql())
 def temporal_markers(spark, sf_dir):
     return P.markers(_docs(spark, sf_dir))
 
 
-# Turns of phrase that leave the order of telling.
-NON_LINEAR = {
-    "retrospective": "(?:años? (?:atrás|antes)|tiempo (?:atrás|antes)|en aquell?a? (?:época|entonces|tiempo)|recordó|recordaba|evocó|aquellos días|por aquel entonces|había (?:sido|vivido|conocido|tenido|estado|hecho|dicho|visto))",
-    "prospective": "(?:(?:años|meses) después|mucho después|algún día|en el futuro|lo que (?:vendría|ocurriría|sucedería|pasaría)|no (?:sabía|imaginaba|sospechaba) que|más adelante|con el tiempo)",
-    "subjunctive": "(?:si|como si|ojalá) [a-zñáéíóú]*(?:ara|iera|ase|iese)[ns]?"}
-SIGNALS = {
-    "flashback": "(?:recordó|recordaba|años atrás|tiempo atrás)", "time_skip": "(?:al día siguiente|(?:días|semanas|meses|años) después|más tarde)", "dream": "(?:soñó|soñaba|en sueños|pesadilla|se despertó)",
-    "death": "(?:murió|falleció|había muerto|fue asesinad[oa]|perdió la vida|lo mataron|la mataron)", "declared_emotion": "(?:estaba|se sentía|se sintió|parecía) (?:feliz|triste|furios[oa]|asustad[oa]|cansad[oa]|content[oa]|nervios[oa])"}
+@query(P.located_sql(P.ORDER_SIGNALS))
+def non_linear_signals(spark, sf_dir):
+    return P.located(_docs(spark, sf_dir), P.ORDER_SIGNALS)
 
 
-def _counted(rules):
-    return " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule, n FROM (SELECT doc_id, CAST(len(regexp_extract_all(lower(coalesce(text, '')), '{p}')) AS BIGINT) AS n FROM documents) WHERE n > 0" for k, p in rules.items())
+@query(P.chapter_orders_sql())
+def chapter_orders(spark, sf_dir):
+    return P.chapter_orders(_docs(spark, sf_dir))
 
 
-@query(_counted(NON_LINEAR))
-def non_linear_signals(spark, sf_dir):
-    return C.rule_counts(_docs(spark, sf_dir), NON_LINEAR)
+# Turns of phrase of events, in plain text.
+SIGNALS = {
+    "dream": "son(?:o|aba)|en +suenos|pesadillas?|desperto +sobresaltad[oa]", "death": "murio|fallecio|habia +muerto|(?:fue|lo|la) +(?:asesinad[oa]|mataron)|perdio +la +vida",
+    "time_skip": "(?:dias|semanas|meses|anos) +(?:despues|mas +tarde)|al +(?:dia|ano|mes) +siguiente", "memory": "record(?:o|aba|ando)|evoc(?:o|aba|ando)|(?:anos|tiempo) +atras",
+    "declared_emotion": "(?:estaba|parecia|se +(?:sentia|sintio)) +(?:feliz|triste|furios[oa]|asustad[oa]|cansad[oa]|content[oa]|nervios[oa])"}
 
 
-@query(_counted(SIGNALS))
+@query(P.located_sql(SIGNALS))
 def event_signals(spark, sf_dir):
-    return C.rule_counts(_docs(spark, sf_dir), SIGNALS)
+    return P.located(_docs(spark, sf_dir), SIGNALS)
 
 
 @query(f"""WITH {TOK}, t AS (SELECT * FROM (VALUES {", ".join(f"('{w}', {y})" for w, y in L.EARLIEST_YEAR.items())}) v(token_lc, earliest)), y AS (SELECT doc_id, CAST(unnest(regexp_extract_all(coalesce(text, ''), '\\b(\\d{{4}})\\b', 1)) AS BIGINT) AS y FROM documents),

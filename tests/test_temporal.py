@@ -1,48 +1,68 @@
 import datetime as dt
-import re
+from itertools import pairwise
+
+import pytest
 
 from fabula.operators import corrections, style, temporal, voice
-from fabula.plans.temporal_plans import NON_LINEAR, SIGNALS
+from tests.comparing import query_and_oracle
 
 SCHEMA = "doc_id long, text string"
-TEXTS = [
+#: Spanish prose that the supplied tables don't hold: what the queries over Spanish turns of phrase find in it is compared with their SQL.
+SPANISH = [
     "El 15 de marzo de 1985 llegó. Dos años después, en 1987, cumplió 30 años. Al día siguiente murió; poco después llovía.",
-    "Hace tres semanas, aquel verano, durante varios meses. Nunca. ENERO DE 1990 y el año 1812.", "Dentro de 5 días, al cabo de un mes, cinco años atrás. Tenía 300 años.", None, "", "sin nada, 3 de mayo", "más tarde más tarde", "1999 1999 en 2001",
+    "Hace tres semanas, aquel verano, durante varios meses. Nunca. ENERO DE 1990 y el año 1812.\nPero ella no volvió. Corriendo llegó el otro.",
+    "Dentro de 5 días, al cabo de un mes, cinco años atrás. Tenía 300 años. Entonces soñó que su padre había muerto. Por eso lloraba.",
+    "Había vivido allí, y recordó aquellos días.\nIba a volver algún día. Si lo supiera, como si fuera fácil.\nHabía sido así.\nDos días después iba a llover.\n\nLuego habíais visto la nave.",
+    "más tarde más tarde, la semana pasada y la noche anterior; el mes que viene. A los quince años, cada día, todos los meses. Dixo a vuestra merced que la philosophía.",
+    None, "", "sin nada, 3 de mayo", "1999 1999 en 2001 y 3050, canción1999 hace_dos años", "Hace unos años. Estaba triste. Se sintió cansada. Días después, una pesadilla.",
 ]
 
 
-def brute(text):
-    kept, out = [], []
-    for kind, p, c in temporal.MARKERS:
-        for m in re.finditer(rf"\b(?:{p})\b", text or "", re.IGNORECASE):
-            if all(m.end() <= a or m.start() >= b for a, b in kept):
-                kept.append(m.span())
-                out.append((m.start(), m.end(), kind, m.group(0), c))
-    return sorted(out)
+@pytest.fixture(scope="module")
+def prose(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("prose")
+    rows = [(i, t, "es", "hand", len(t or "")) for i, t in enumerate(SPANISH)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
 
+@pytest.mark.parametrize("name", ["temporal_markers", "temporal_marker_counts", "non_linear_signals", "chapter_orders", "event_signals", "classical_spellings", "continuity_signals"])
+def test_queries_over_spanish_prose_agree_with_their_sql(spark, prose, name):
+    got, want = query_and_oracle(spark, prose, name)
+    assert len(want) >= 3 and got == want
 
-def test_markers_are_those_of_brute_force(spark):
-    rows = temporal.markers(spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)).collect()
-    for i, t in enumerate(TEXTS):
-        assert sorted((r.start, r.stop, r.kind, r.text, r.confidence) for r in rows if r.doc_id == i) == brute(t), t
+
+def test_markers_and_their_values(spark):
+    rows = temporal.markers(spark.createDataFrame(list(enumerate(SPANISH)), SCHEMA)).collect()
     of = {(r.doc_id, r.text): r for r in rows}
-    d = of[0, "15 de marzo de 1985"]
-    assert (d.year, d.month, d.day, d.days) == (1985, 3, 15, None)
-    r = of[0, "Dos años después"]
-    assert (r.direction, r.quantity, r.unit, r.days) == ("future", 2, "año", 730.0)
-    assert of[0, "cumplió 30 años"].age == 30 and of[2, "Tenía 300 años"].age is None
-    assert of[0, "Al día siguiente"].days == 1.0 and abs(of[0, "poco después"].days - 1 / 24) < 1e-9
-    h = of[1, "Hace tres semanas"]
-    assert (h.direction, h.quantity, h.unit, h.days) == ("past", 3, "semana", 21.0)
-    assert (of[1, "ENERO DE 1990"].month, of[1, "ENERO DE 1990"].year) == (1, 1990) and of[1, "durante varios meses"].unit == "mes"
-    assert of[2, "Dentro de 5 días"].days == 5.0 and of[2, "cinco años atrás"].direction == "past"
-
-
-def test_anachronisms_and_signals(spark):
-    docs = spark.createDataFrame([(1, "En 1700 sonó el teléfono y pasó un tren."), (2, "En 1950 el teléfono."), (3, "Recordó aquellos días. Años después soñó que murió."), (4, None)], SCHEMA)
+    said = lambda i, text: (SPANISH[i].index(text), SPANISH[i].index(text) + len(text))
+    values = lambda r: (r.kind, r.direction, r.quantity, r.unit, r.days, r.year, r.month, r.day, r.age)
+    assert values(of[0, "15 de marzo de 1985"]) == ("absolute_date", None, None, None, None, 1985, 3, 15, None)
+    assert values(of[0, "dos anos despues"]) == ("relative_time", "future", 2, "ano", 730.0, None, None, None, None)
+    assert (of[0, "dos anos despues"].start, of[0, "dos anos despues"].stop) == said(0, "Dos años después")
+    assert values(of[0, "cumplio 30 anos"])[-1] == 30 and of[2, "tenia 300 anos"].age is None
+    assert values(of[0, "al dia siguiente"])[:5] == ("relative_time", "future", 1, "dia", 1.0) and of[0, "poco despues"].days == 1 / 24
+    assert values(of[1, "hace tres semanas"])[:5] == ("relative_time", "past", 3, "semana", -21.0)
+    assert values(of[1, "durante varios meses"])[:5] == ("duration", None, None, "mes", None)
+    assert (of[1, "enero de 1990"].month, of[1, "ano 1812"].year, of[7, "3 de mayo"].day, of[7, "3 de mayo"].year) == (1, 1812, 3, None)
+    assert of[2, "dentro de 5 dias"].days == 5.0 and of[2, "cinco anos atras"].days == -1825.0 and of[2, "al cabo de un mes"].days == 30.0
+    assert values(of[4, "la semana pasada"])[:5] == ("relative_time", "past", 1, "semana", -7.0) and of[4, "el mes que viene"].days == 30.0
+    assert of[4, "la noche anterior"].days == -1.0 and of[4, "a los quince anos"].age == 15 and of[4, "todos los meses"].kind == "frequency"
+    assert of[9, "hace unos anos"].quantity is None and of[9, "hace unos anos"].direction == "past"
+    assert sorted(r.text for r in rows if r.doc_id == 8) == ["1999", "1999", "2001"] and not [r for r in rows if r.doc_id in (5, 6)]
+    ordered = sorted(rows, key=lambda r: (r.doc_id, r.start))
+    assert all(a.stop <= b.start for a, b in pairwise(ordered) if a.doc_id == b.doc_id)
+    assert of[0, "15 de marzo de 1985"].confidence == 0.9 and of[1, "nunca"].confidence == 0.6
+
+
+def test_order_of_chapters(spark):
+    rows = {(r.doc_id, r.chapter): r for r in temporal.chapter_orders(spark.createDataFrame(list(enumerate(SPANISH)), SCHEMA)).collect()}
+    assert (rows[3, 1].told, rows[3, 1].retrospective, rows[3, 1].prospective, rows[3, 1].hypothetical) == ("prospective", 3, 4, 2) and rows[3, 2].told == "linear"
+
+
+def test_anachronisms(spark):
+    docs = spark.createDataFrame([(1, "En 1700 sonó el teléfono y pasó un tren."), (2, "En 1950 el teléfono."), (3, "Recordó aquellos días."), (4, None)], SCHEMA)
     assert {(r.doc_id, r.word, r.gap, r.confidence) for r in temporal.anachronisms(docs).collect()} == {(1, "teléfono", 176, 0.85), (1, "tren", 104, 0.85)}
-    assert {(r.rule, r.n) for r in corrections.rule_counts(docs, NON_LINEAR).collect()} == {("retrospective", 2), ("prospective", 1)}
-    assert {r.rule for r in corrections.rule_counts(docs, SIGNALS).collect()} == {"flashback", "time_skip", "dream", "death"}
 
 
 def test_ages_gaps_and_life(spark):

@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What a side may weigh, in rows and in bytes of its text columns, to be broadcast after it was measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it was measured to be small, else as it is: then Spark joins by shuffle and splits skewed keys."""
+    strings = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
+    size = sum((F.coalesce(n, F.lit(0)) for n in strings), F.lit(0))
+    m = df.select(size.alias("b")).limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(df) if m.n <= BROADCAST_ROWS and (m.b or 0) <= BROADCAST_BYTES else df
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, width: int, how: Column | None = None) -> DataFrame:
     """Pairs of rows with equal keys and |left.at - right.other| <= width, by blocks of width + 1.
 

@@ -26,7 +26,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 #: The modules that register queries.
-FAMILIES = ("style_plans", "voice_plans", "alert_plans", "story_plans", "text_plans", "model_plans", "temporal_plans", "editorial_plans")
+FAMILIES = ("style_plans", "voice_plans", "alert_plans", "story_plans", "text_plans", "model_plans", "temporal_plans", "editorial_plans", "story_text_plans")
 
 
 def _registered() -> None:

@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm.common import SPACED_BREAKS, ascii_lower, shared_dir
+from fabula.llm.common import SPACED_BREAKS, ascii_lower, shared_dir, written
 
 #: Tokens above which a text is over a model's window.
 LIMIT = 2048
@@ -131,6 +131,7 @@ def count(docs: DataFrame, cache: str | None = None, path: str | None = None, li
     """doc_id, n_bytes, n_tokens, over_limit of every row; cache: a folder that outlives the run, or one for this run in the shared folder."""
     cache = cache or f"{shared_dir(docs.sparkSession)}/token-counts-{uuid.uuid4().hex}"
     refresh(docs, cache, path)
-    counts = stored(docs, cache, version(path or default_tokenizer()))
+    # written, so that the join reads plain rows: a content that many rows share is then split by the skew join
+    counts = written(stored(docs, cache, version(path or default_tokenizer())))
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content(F.col("text")).alias("content"))
     return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from fabula.functions import text as T
 from fabula.operators.joins import as_of, band_join
 from fabula.operators.mentions import find_mentions
+from fabula.sources.shared import written
 
 #: Verbs of speech by their stems in plain text; the forms are those of the past and the present that narrators use.
 _STEMS = ("dij", "pregunt", "respond", "contest", "grit", "exclam", "susurr", "murmur", "replic", "anad", "afirm", "insist", "explic", "orden", "suplic", "protest", "repit", "interrump", "balbuce", "coment", "asegur", "confes")
@@ -140,8 +141,8 @@ def attribute(dialogues: DataFrame) -> DataFrame:
 
 def speakers(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """Every dialogue span of texts with its speaker among entities (entity_id, name, aliases): doc_id, dlg_idx, start, stop, chapter, scene, verb, speaker_id, method, confidence."""
-    mentions = find_mentions(docs, entities)
-    d = with_scenes(docs, named_by_verb(spans(docs), entities, mentions))
+    mentions = written(find_mentions(docs, entities))
+    d = written(with_scenes(docs, named_by_verb(spans(docs), entities, mentions)))
     ready = with_nearby(d, mentions).withColumn("hint_id", F.lit(None).cast("long"))
     return d.select("doc_id", "dlg_idx", "start", "stop", "chapter", "scene", "verb").join(attribute(ready), ["doc_id", "dlg_idx"])
 

@@ -3,12 +3,22 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fabula.functions import lexicons as L
+from fabula.functions import text as T
+from fabula.operators import attributes as A
+from fabula.operators import chains as H
+from fabula.operators import chunks as K
+from fabula.operators import clusters as G
 from fabula.operators import mentions as M
 from fabula.operators import speakers as S
+from fabula.operators import spelling as O
+from fabula.operators import structure as R
 from fabula.operators import versions as V
 from fabula.plans.catalog import query
+from fabula.plans.story_plans import _interactions
+from fabula.plans.style_plans import CHAP, QUOTED, TOK, WORD, sentences_sql
 from fabula.sources.shared import written
-from fabula.sources.tables import load
+from fabula.sources.tables import CAST, load
 
 
 def _docs(spark, d):
@@ -18,7 +28,7 @@ def _docs(spark, d):
 @query()
 def mentions_of_names(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return M.find_mentions(docs, M.entities_of(docs))
+    return M.find_mentions(docs, written(M.entities_of(docs)))
 
 
 def edited(docs):
@@ -61,7 +71,7 @@ def entity_continuity(spark, sf_dir):
 @query()
 def speaker_attribution(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return S.speakers(docs, M.entities_of(docs))
+    return S.speakers(docs, written(M.entities_of(docs)))
 
 
 @query()
@@ -77,3 +87,98 @@ def attributed_turns(spark, sf_dir):
         F.when(said, role).alias("hint_id"), F.array().cast("array<bigint>").alias("nearby"))
     found = S.attribute(d).withColumnRenamed("doc_id", "conv_id")
     return c.select("conv_id", "dlg_idx", "turn", "role").join(found, ["conv_id", "dlg_idx"]).withColumn("right", F.col("speaker_id") == role)
+
+
+def _named(spark, sf_dir):
+    """Texts, the entities they name, and where."""
+    docs = _docs(spark, sf_dir)
+    entities = written(M.entities_of(docs))
+    return docs, entities, written(M.find_mentions(docs, entities))
+
+
+@query()
+def coreference_chains(spark, sf_dir):
+    docs, _, mentions = _named(spark, sf_dir)
+    return H.chains(docs, mentions)
+
+
+@query()
+def resolved_aliases(spark, sf_dir):
+    docs, entities, mentions = _named(spark, sf_dir)
+    found = H.found_aliases(docs, entities)
+    return H.alias_clusters(H.resolve_aliases(found, entities, mentions, H.chains(docs, mentions)))
+
+
+#: Words of the supplied tables' four languages that turn a sentence to the past or the future, in plain text.
+TENSES = {"past": "was|were|had|fue|era|habia|etait|avait|war|hatte|wurde", "future": "will|shall|sera|seront|wird|werden|va|iba"}
+
+
+@query(f"""WITH {CHAP}, s AS (SELECT doc_id, chapter, unnest(ss) AS text, unnest(range(len(ss))) AS sent_idx FROM (SELECT doc_id, chapter, {sentences_sql("text")} AS ss FROM chap)),
+p AS (SELECT *, translate(text, '{T.PLAIN_FROM}', '{T.PLAIN_TO}') AS t FROM s), r AS ({" UNION ALL ".join(f"SELECT doc_id, chapter, sent_idx, '{k}' AS direction, text FROM p WHERE regexp_matches(t, '{chr(92)}b(?:{w}){chr(92)}b')" for k, w in TENSES.items())}),
+k AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(text), '{WORD}')), lambda w: length(w) >= {R.KEYWORD_CHARS} AND w NOT IN ({QUOTED(L.STOP_WORDS)})) AS ws FROM r),
+i AS (SELECT DISTINCT doc_id, chapter AS other, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM chap), a AS (SELECT doc_id, chapter, sent_idx, direction, len(ws) AS n, unnest(ws) AS word FROM k),
+h AS (SELECT doc_id, chapter, sent_idx, direction, other, n, count(*) AS k FROM a JOIN i USING (doc_id, word) WHERE CASE WHEN direction = 'past' THEN other < chapter ELSE other > chapter END GROUP BY ALL HAVING count(*) >= {R.LEAST_SHARED} AND count(*) >= n * {R.SHARE}::DOUBLE),
+f AS (SELECT doc_id, chapter, sent_idx, direction, min(other) AS told_in, arg_min(k, other) AS shared FROM h GROUP BY ALL)
+SELECT doc_id, chapter, sent_idx, direction, len(ws) AS n_keywords, coalesce(told_in, 0) AS told_in, coalesce(shared, 0) AS shared FROM k LEFT JOIN f USING (doc_id, chapter, sent_idx, direction)""")
+def told_elsewhere(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return R.told_elsewhere(docs, R.references(docs, TENSES))
+
+
+@query()
+def prolepses_and_analepses(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return R.told_elsewhere(docs, R.references(docs))
+
+
+@query()
+def name_clusters(spark, sf_dir):
+    """Names of several words in two neighbouring texts, clustered by likeness."""
+    cast = _cast(_docs(spark, sf_dir)).filter("name like '% %'")
+    return G.name_clusters(cast.select(F.col("story").alias("scope"), (F.col("story") * 1_000_000 + F.col("version") * 500_000 + F.col("entity_id")).alias("id"), "name"))
+
+
+@query()
+def pairs_within_name_clusters(spark, sf_dir):
+    return G.pairs_within(name_clusters(spark, sf_dir))
+
+
+@query()
+def relationship_clusters(spark, sf_dir):
+    i = _interactions(spark, sf_dir)
+    return G.relationship_clusters(i.select(F.floor(F.least("a", "b") / CAST).alias("story"), "a", "b", F.lit(1).alias("strength")))
+
+
+@query()
+def text_chunks(spark, sf_dir):
+    c = K.chunks(_docs(spark, sf_dir))
+    return c.select("doc_id", "chunk_index", "start", "stop", F.md5("text").alias("text"))
+
+
+@query()
+def misspellings(spark, sf_dir):
+    """Words near a common word of the corpus but not in its dictionary; the names that texts hold are known."""
+    docs = _docs(spark, sf_dir)
+    return O.misspelling_summary(O.misspellings(docs, M.entities_of(docs)))
+
+
+@query(f"""WITH {TOK}, t AS (SELECT doc_id, word_idx, translate(token, '{T.PLAIN_FROM}', '{T.PLAIN_TO}') AS word FROM tok WHERE length(token) >= 4),
+s AS (SELECT *, CASE WHEN regexp_matches(word, '^[a-z]{{4}}') THEN regexp_replace(word, '^([a-z]{{4,20}}?)(?:{"|".join(O.ENDINGS)})$', '\\1') ELSE word END AS stem FROM t), g AS (SELECT *, word_idx - lag(word_idx) OVER (PARTITION BY doc_id, stem ORDER BY word_idx) AS gap FROM s)
+SELECT doc_id, stem, count(*) AS n, min(gap) AS min_distance, count(DISTINCT word) AS forms FROM g GROUP BY 1, 2 HAVING min(gap) <= 50 AND count(DISTINCT word) > 1""")
+def lemma_repetitions(spark, sf_dir):
+    return O.lemma_repetitions(_docs(spark, sf_dir))
+
+
+#: What the supplied tables' prose says of somebody, in plain text: any word behind a form of "to be".
+SAID = {"being": "(?:was|is|era|es|fue|est|etait|ist|war) +[a-z]{4,}"}
+
+
+@query()
+def entity_attributes(spark, sf_dir):
+    docs, _, mentions = _named(spark, sf_dir)
+    return A.resolve(A.candidates(docs, mentions, A.PATTERNS | SAID, A.VALUES | {"being": " ([a-z]+)$"}))
+
+
+@query()
+def attribute_contradictions(spark, sf_dir):
+    return A.contradictions(entity_attributes(spark, sf_dir))

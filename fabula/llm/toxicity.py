@@ -4,7 +4,8 @@ Texts are folded first: lower case, homoglyphs to Latin letters, digits and sign
 The lexicon is learned from labelled rows: a folded word, or a stem (a word beginning that branches into several words), gets
 as weight its log-odds in toxic against clean documents. A match counts at a word's start (a whole word also at its
 end) and unless it lies in an exception phrase. A seed word that no labelled clean text holds counts with `MIN_WEIGHT` at least. The sum of weights, normalised by the logarithm of the text's length, goes
-through a logistic curve fitted on the same rows, drawn towards `PRIOR`, so that few labels or none go the same way as many.
+through a logistic curve fitted on the same rows, drawn towards a prior, so that few labels or none go the same way as many. The prior is the one of `PRIORS` whose curves,
+fitted without a fold of the training rows, do best on that fold: rows outside the training rows have no part in it.
 Whole texts are matched.
 
 Learning takes at most about `TRAIN_ROWS` labelled rows, drawn by a hash of doc_id. An entry of the lexicon needs several
@@ -36,7 +37,9 @@ TRAIN_ROWS = 30_000
 MIN_WEIGHT = 2.5
 STEM_CHARS = range(3, 9)
 STEM_BRANCHES = 3
-PRIOR = (3.0, -1.5)  # slope and offset of the curve before any label
+#: Slopes and offsets of the curve before any label. The first one stands where labels are too few for folds: two matches of the least weight in a text of a thousand characters, a load of a half, are a toss-up.
+PRIORS = tuple((slope, -slope * even) for slope in (3.0, 1.5, 6.0, 12.0) for even in (0.5, 0.25, 1.0))
+FOLDS = 5
 
 # Letters of other scripts that look like Latin ones, and signs written for letters.
 HOMOGLYPHS = {
@@ -120,11 +123,27 @@ def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([counts[t][x] for x in part], pa.int64()) for t in (1, 0))], names=["feature", "bad", "good"])
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _prior(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[float, float]:
+    """The prior whose curves lose least on the fold they were fitted without; the first one unless each fold has rows of both kinds."""
+    if any(len(np.unique(y[fold == f])) < 2 for f in range(FOLDS)):
+        return PRIORS[0]
+
+    def loss(prior: tuple[float, float]) -> float:
+        total = 0.0
+        for f in range(FOLDS):
+            slope, offset = _curve(x[fold != f], y[fold != f], prior)
+            z = np.where(y[fold == f] > 0, -1.0, 1.0) * np.clip(slope * x[fold == f] + offset, -30, 30)
+            total += float(np.log1p(np.exp(z)).sum())
+        return total
+
+    return min(PRIORS, key=loss)
+
+
+def _curve(x: np.ndarray, y: np.ndarray, towards: tuple[float, float]) -> tuple[float, float]:
     """A logistic curve through one value, by Newton steps with a small ridge around the prior curve."""
     scale = max(float(np.abs(x).max(initial=0)), 1e-9)
     a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    prior, ridge = np.array([PRIOR[0] * scale, PRIOR[1]]), np.array([1e-2, 1e-3])
+    prior, ridge = np.array([towards[0] * scale, towards[1]]), np.array([1e-2, 1e-3])
     b = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
@@ -133,8 +152,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0] / scale), float(b[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """The lexicon and curve from labelled rows outside the held-out fold."""
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: tuple[str, ...] = ()) -> Model:
+    """The lexicon and curve from labelled rows outside the held-out fold. seed: words that count before any label, such as SEED; labels suffice without."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic")).filter(~held_out(F.col("__id")))
     n = marks.count()
     if n > train_rows:
@@ -153,12 +172,15 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     for r in sorted(stems.filter(enough).select("feature", "weight").collect(), key=lambda r: (len(r.feature), r.feature)):  # the most general stem stands for those it begins
         if not any(r.feature[:i] in chosen for i in STEM_CHARS):
             chosen[r.feature] = r.weight
-    found = words.filter((F.col("bad") >= 3) & enough | F.col("feature").isin(*SEED)).select("feature", "weight", "good").collect()
-    weights = dict.fromkeys(SEED, MIN_WEIGHT) | {r.feature: r.weight if r.good else max(r.weight, MIN_WEIGHT) for r in found}
+    found = words.filter((F.col("bad") >= 3) & enough | F.col("feature").isin(*seed)).select("feature", "weight", "good").collect()
+    weights = dict.fromkeys(seed, MIN_WEIGHT) | {r.feature: r.weight if r.good else max(r.weight, MIN_WEIGHT) for r in found}
     terms = {f: w for f, w in weights.items() if w >= MIN_WEIGHT and not any(f[:i] in chosen for i in STEM_CHARS)}
     model = Model(terms, chosen, EXCEPTIONS, 1.0, 0.0)
-    seen = _loads(rows.select("doc_id", "text", "toxic"), model).select("toxic", "x").toPandas()
-    return model._replace(**dict(zip(("slope", "offset"), _curve(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float)), strict=True)))
+    fold = F.floor(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) / 5) % FOLDS  # the remainder by 5 is the held-out fold's
+    seen = _loads(rows.select("doc_id", "text", "toxic"), model).select("toxic", "x", fold.alias("fold")).toPandas()
+    x, y = seen["x"].to_numpy(float), seen["toxic"].to_numpy(float)
+    slope, offset = _curve(x, y, _prior(x, y, seen["fold"].to_numpy(int)))
+    return model._replace(slope=slope, offset=offset)
 
 
 def _loads(docs: DataFrame, model: Model) -> DataFrame:

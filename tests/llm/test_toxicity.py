@@ -2,6 +2,8 @@ import math
 import random
 import zlib
 
+import numpy as np
+
 from fabula.llm import toxicity as X
 
 DOCS = "doc_id long, text string, toxic int, x string"
@@ -43,7 +45,8 @@ def test_exceptions_boundaries_and_no_labels(spark):
     assert X.load("the class clown", a) == 0 and X.load("a clown", a) > 0 and X.load("clowns", a) == 0 and X.load("xlowei", a) == 0 and X.load("loweix", a) > 0
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "you stupid idiot", 0, ""), (2, "fine", 0, "")], DOCS)
-    seed = X.learn(docs, empty)
+    seed = X.learn(docs, empty, seed=X.SEED)
+    assert not X.learn(docs, empty).terms
     assert {r.doc_id: r.predicted for r in X.scores(docs, seed).collect()} == {1: 1, 2: 0}
     assert X.scores(spark.createDataFrame([], DOCS), seed).count() == 0
 
@@ -75,9 +78,19 @@ def test_repeated_rows_ties_and_few_labels(spark):
     docs = [(1, "vexo tarn", 0, ""), (1, "vexo tarn", 0, ""), *((i, "vexo tarn idiot", 0, "") for i in (2, 3, 4)), *((i, "calm words pathetic", 0, "") for i in range(10, 60))]
     labels = [(i, 1, 1) for i in (2, 3, 4)] + [(2, 1, 1), (2, 1, None)] + [(i, 1, 0) for i in range(10, 60)]
     d = spark.createDataFrame(docs, DOCS)
-    model = X.learn(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    model = X.learn(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), seed=X.SEED)
     held = {i for i in (2, 3, 4) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert ({"vexo", "tarn"} <= set(model.terms)) == (len(held) == 0)  # three toxic rows or more; terms that tie are all kept
     assert "idiot" in model.terms and "moron" in model.terms and "pathetic" not in model.terms  # labelled clean texts outweigh a seed word
     got = X.scores(d, model).collect()
     assert len(got) == len(docs) and len({r.score for r in got if r.doc_id == 1}) == 1
+
+
+def test_the_prior_is_chosen_inside_the_training_rows():
+    g = np.random.default_rng(3)
+    fold = np.arange(400) % X.FOLDS
+    x = np.where(np.arange(400) % 4 == 0, g.normal(1.2, 0.1, 400), g.normal(0.8, 0.1, 400))
+    y = (np.arange(400) % 4 == 0).astype(float)
+    slope, offset = X._prior(x, y, fold)
+    assert (slope, offset) in X.PRIORS and slope == 12.0  # the classes hardly overlap
+    assert X._prior(x, np.zeros(400), fold) == X._prior(x[:3], y[:3], fold[:3]) == X.PRIORS[0]

@@ -33,8 +33,6 @@ from fabula.llm.common import text_key, words, written
 
 CAPACITY = 2048
 GROUP = 4096
-#: Only sources above this share of the pieces may be dealt into sub-sources; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 0.02
 
 
 def best_fit(sizes: list[int], sources: list[int | None], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -90,8 +88,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, clusters
     total, tokens = cut.agg(F.count("*"), F.sum("n_tokens")).first()
     groups = max(1, -(-total // group))
     per_bin = capacity * total / max(tokens or 0, 1)
-    counts = cut.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("source").isNotNull() & (F.col("n") > HOT_SHARE * total)).collect() if total else []
-    hot = [(r.source, int(np.ceil(r.n / total * per_bin))) for r in counts if r.n * per_bin > total]
+    # more pieces than there are mean bins: of such sources there are at most per_bin, the pieces of a mean bin, whatever the table
+    counts = cut.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("source").isNotNull() & (F.col("n") * per_bin > total)).collect() if total else []
+    hot = [(r.source, int(np.ceil(r.n / total * per_bin))) for r in counts]
     subs = F.lit(1)
     for source, n in hot:
         subs = F.when(F.col("source") == source, n).otherwise(subs)

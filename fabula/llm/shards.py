@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from fabula.llm.common import text_key, words, written
 
 POOLS = 4096
+#: Pairs of pools whose exchange is weighed in one matrix.
+PAIRS_AT_ONCE = 1_000_000
 LAW = "bytes"
 
 
@@ -54,12 +56,13 @@ def _evened(unit: np.ndarray, out: np.ndarray, n_shards: int) -> np.ndarray:
                 best, i = float(gain[i, t]), int(mine[i])
             o = int(np.argmin(load @ load[s]))  # the shard that deviates most to the other side, to exchange with
             theirs = np.flatnonzero(out == o)
-            if o != s and len(mine) and len(theirs) and len(mine) * len(theirs) <= 1_000_000:
-                d = load[o] - load[s]
-                swap = 2 * ((unit[mine] @ d + own[mine])[:, None] + (own[theirs] - unit[theirs] @ d)[None, :] - 2 * unit[mine] @ unit[theirs].T)
+            step = max(1, PAIRS_AT_ONCE // max(1, len(theirs)))
+            for at in range(0, len(mine) if o != s and len(theirs) else 0, step):
+                some, d = mine[at : at + step], load[o] - load[s]
+                swap = 2 * ((unit[some] @ d + own[some])[:, None] + (own[theirs] - unit[theirs] @ d)[None, :] - 2 * unit[some] @ unit[theirs].T)
                 if swap.min() < min(best, -1e-15):
                     a, b = np.unravel_index(int(swap.argmin()), swap.shape)
-                    best, i, t, back = float(swap[a, b]), int(mine[a]), o, int(theirs[b])
+                    best, i, t, back = float(swap[a, b]), int(some[a]), o, int(theirs[b])
             if best < 0:
                 break
         else:

@@ -9,8 +9,8 @@ A template of fewer than `SEGMENT` shingles fills no window's bands reliably, so
 only band is that shingle, which is found with certainty.
 
 Whatever a key retrieves is confirmed exactly: the template's distinct shingles are intersected with those of the whole
-text, and a match needs at least `CONTAINED` of them. DataFrame functions only; the templates are a parameter, counted
-before they are broadcast.
+text, and a match needs at least `CONTAINED` of them. DataFrame functions only; the templates are a parameter and become
+constants of the plan.
 
 Defined cases: a null, empty or wordless text has no matches; templates without words are ignored; a template shorter
 than a shingle is one shingle; equal document rows (doc_id and text) give a match once; very long texts are read whole
@@ -19,10 +19,10 @@ within their row; templates that tie are all returned; an empty table gives no r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm.common import ALNUM_BREAKS, broadcast_if_small, let, words
+from fabula.llm.common import ALNUM_BREAKS, let, words
 
 SHINGLE = 5
 SEGMENT = 8
@@ -87,34 +87,34 @@ def templates(spark: SparkSession, named: dict[str, str] | None = None) -> DataF
 def scan(docs: DataFrame, named: dict[str, str] | None = None) -> DataFrame:
     """A row for each document and template that it holds: doc_id, text_hash, license, first_word, containment.
 
-    Retrieval and containment stay within a document's row; only matches are shuffled."""
-    keys = templates(docs.sparkSession, named)
+    Retrieval and containment stay within a document's row: its shingles are computed once for each width, and only matches leave the row."""
     # the templates came from the driver as a parameter, so their keys may return to it
-    known = {n: [r.key for r in g] for n, g in _by_width(keys.select("width", "key").distinct().collect()).items()}
+    listed = templates(docs.sparkSession, named).groupBy("license", "width", "n", "template").agg(F.collect_set("key").alias("keys")).orderBy("license").collect()
 
-    def retrieved(h: Column) -> Column:
-        """(width, key, grams) of every template key among the keys of a text's windows."""
-        none = F.array().cast("array<struct<width:int,key:bigint,grams:array<bigint>>>")
+    def held(h: Column) -> Column:
+        """(license, first_word, containment) of every template that a text's windows retrieve and its shingles contain."""
+        none = F.array().cast("array<struct<license:string,first_word:int,containment:double>>")
 
         def of_width(n: int) -> Column:
+            mine = [r for r in listed if r.width == n]
+            known = F.array(*[F.struct(F.lit(r.license).alias("license"), F.lit(r.n).alias("n"), _literal(r.template).alias("template"), _literal(r.keys).alias("keys")) for r in mine])
+            every = _literal(sorted({k for r in mine for k in r.keys}))
             seen = (lambda g: F.concat(g, _bands(g))) if n == SHINGLE else (lambda g: g)
-            found = let(_grams(h, n), lambda g: F.transform(F.array_intersect(seen(g), _literal(known[n])), lambda k: F.struct(F.lit(n).alias("width"), k.alias("key"), g.alias("grams"))))
-            return F.when(F.size(h) >= n, found).otherwise(none)
 
-        return F.concat(none, *[of_width(n) for n in sorted(known)])
+            def contained(g: Column, hit: Column) -> Column:
+                retrieved = F.filter(known, lambda t: F.arrays_overlap(t["keys"], hit))
+                shared = F.transform(retrieved, lambda t: F.struct(t["license"].alias("license"), t["n"].alias("n"), F.array_intersect(g, t["template"]).alias("both")))
+                enough = F.filter(shared, lambda t: F.size(t["both"]) >= CONTAINED * t["n"])
+                return F.transform(enough, lambda t: F.struct(
+                    t["license"].alias("license"), (F.array_min(F.transform(t["both"], lambda x: F.array_position(g, x))) - 1).cast("int").alias("first_word"), (F.size(t["both"]) / t["n"]).alias("containment")))
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text"), ALNUM_BREAKS).alias("ws"))
-    hits = rows.select("doc_id", "text_hash", F.inline(let(F.transform("ws", lambda w: F.xxhash64(w)), retrieved)))
-    held = hits.join(broadcast_if_small(keys), ["width", "key"]).withColumn("shared", F.array_intersect("grams", "template")).filter(F.size("shared") >= CONTAINED * F.col("n"))
-    first = F.array_min(F.transform("shared", lambda x: F.array_position("grams", x))) - 1
-    return held.select("doc_id", "text_hash", "license", first.alias("first_word"), (F.size("shared") / F.col("n")).alias("containment")).distinct()
+            found = let(_grams(h, n), lambda g: let(F.array_intersect(seen(g), every), lambda hit: F.when(F.size(hit) > 0, contained(g, hit)).otherwise(none)))
+            return F.when(F.size(h) >= n, found).otherwise(none)
 
+        return F.concat(none, *[of_width(n) for n in sorted({r.width for r in listed})])
 
-def _by_width(rows: list[Row]) -> dict[int, list[Row]]:
-    out: dict[int, list[Row]] = {}
-    for r in rows:
-        out.setdefault(r.width, []).append(r)
-    return out
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text"), ALNUM_BREAKS).alias("ws"))
+    return rows.select("doc_id", "text_hash", F.inline(let(F.transform("ws", lambda w: F.xxhash64(w)), held))).distinct()
 
 
 def _literal(keys: list[int]) -> Column:

@@ -29,12 +29,14 @@ DECAY, FLOOR, MEDIUM_ALTERNATION, MEDIUM_RECENT = 0.97, 0.30, 0.74, 0.68
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, dlg_idx, start, stop, text, before, after of the dialogue spans: before and after are the narration around them, cut at the next span, to BEFORE and AFTER characters."""
     text = T.empty_as(F.col("text"))
-    z = F.arrays_zip(F.split(text, SPEECH, -1).alias("part"), F.regexp_extract_all(text, F.lit(SPEECH), F.lit(0)).alias("hit"))
-    rows = docs.select("doc_id", F.posexplode(z).alias("i", "z"))
-    order = Window.partitionBy("doc_id").orderBy("i")
-    stop = F.sum(F.length("z.part") + F.coalesce(F.length("z.hit"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.select("doc_id", F.col("i").cast("long").alias("dlg_idx"), stop.alias("stop"), F.col("z.hit").alias("text"), F.right("z.part", F.lit(BEFORE)).alias("before"), F.left(F.lead("z.part").over(order), F.lit(AFTER)).alias("after"))
-    return placed.filter("text is not null").select("doc_id", "dlg_idx", (F.col("stop") - F.length("text")).alias("start"), "stop", "text", "before", "after")
+    # of the narration only its length and ends leave the row
+    ends = F.transform(F.split(text, SPEECH, -1), lambda x: F.struct(F.length(x).alias("n"), F.left(x, F.lit(AFTER)).alias("head"), F.right(x, F.lit(BEFORE)).alias("tail")))
+    z = F.arrays_zip(ends.alias("part"), F.regexp_extract_all(text, F.lit(SPEECH), F.lit(0)).alias("hit"))
+    rows = docs.select("doc_id", F.posexplode(z).alias("i", "z")).select("doc_id", F.col("i").cast("long").alias("dlg_idx"), "z.part.*", F.col("z.hit").alias("text"))
+    order = Window.partitionBy("doc_id").orderBy("dlg_idx")
+    stop = F.sum(F.col("n") + F.coalesce(F.length("text"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumns({"stop": stop, "after": F.lead("head").over(order)}).filter("text is not null")
+    return placed.select("doc_id", "dlg_idx", (F.col("stop") - F.length("text")).alias("start"), "stop", "text", F.col("tail").alias("before"), "after")
 
 
 def named_by_verb(dialogues: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def test_near_duplicates_by_five_words(spark):
 
 def test_registry():
     names = registry.queries()
-    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{i}" for i in range(1, 11))])
+    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{i}" for i in range(1, 14))])
     assert set(registry.oracles()) <= set(names)
 
 

@@ -9,6 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.operators.joins import broadcast_if_small
+
 CLOSED = ("dismissed", "resolved", "acknowledged")
 SEVERITIES = ("critical", "warning", "info", "hint")
 DECAY, FLOOR = 0.97, 0.15
@@ -77,10 +79,13 @@ def content_hash(alerts: DataFrame) -> DataFrame:
 
 
 def suppressed(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alerts that no rule (type_glob, module_glob; null matches all) covers. Globs become patterns once; the rules are a short list."""
+    """Alerts that no rule (type_glob, module_glob; null matches all) covers. Globs become patterns once. The kinds of alert, type and module, are
+    few whatever the number of alerts: rules are matched with these, and alerts are joined with the kinds that are covered."""
     pattern = lambda c: F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace(c, r"([.+^$(){}\[\]|\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-    r = F.broadcast(rules.select(pattern(F.coalesce("type_glob", F.lit("*"))).alias("tp"), pattern(F.coalesce("module_glob", F.lit("*"))).alias("mp")))
-    return alerts.join(r, F.expr("alert_type rlike tp and source_module rlike mp"), "left_anti")
+    r = rules.select(pattern(F.coalesce("type_glob", F.lit("*"))).alias("tp"), pattern(F.coalesce("module_glob", F.lit("*"))).alias("mp")).distinct()
+    kinds = alerts.select("alert_type", "source_module").distinct()
+    covered = kinds.join(broadcast_if_small(r), F.expr("alert_type rlike tp and source_module rlike mp"), "left_semi")
+    return alerts.join(broadcast_if_small(covered), ["alert_type", "source_module"], "left_anti").select(alerts.columns)
 
 
 def apply_dismissals(alerts: DataFrame, dismissed: DataFrame) -> DataFrame:

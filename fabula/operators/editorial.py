@@ -245,10 +245,16 @@ def word_difficulty(docs: DataFrame) -> DataFrame:
 
 
 def after_undo(log: DataFrame, undo: str) -> DataFrame:
-    """The state of each key (user_id) of an append-only log once undone actions are left out: an action directly followed by an undo doesn't count, nor does the undo."""
+    """The state of each key (user_id) of an append-only log once undone actions are left out: each undo takes back the last action still in force, as brackets close; with none in force it does nothing.
+
+    Actions raise a height and undos lower it, never below 0: an action stands if the height never falls below its own again. Running sums and minima, no stack."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = log.select("user_id", "event_id", "event_type", "value", "ts", F.lead("event_type").over(w).alias("next")).filter((F.col("event_type") != undo) & ~F.col("next").eqNullSafe(undo))
-    return rows.groupBy("user_id").agg(F.count("*").alias("n_actions"), F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("s")).select("user_id", "n_actions", "s.event_id", "s.event_type", "s.value")
+    so_far, later = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    is_undo = F.col("event_type").eqNullSafe(undo)
+    rows = log.select("user_id", "event_id", "event_type", "value", "ts", is_undo.alias("is_undo")).withColumn("sum", F.sum(F.when(F.col("is_undo"), -1).otherwise(1)).over(so_far))
+    height = rows.withColumn("height", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far))).withColumn("lowest", F.min("height").over(later))
+    standing = height.filter("not is_undo and lowest >= height")
+    return standing.groupBy("user_id").agg(F.count("*").alias("n_actions"), F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("s")).select("user_id", "n_actions", "s.event_id", "s.event_type", "s.value")
 
 
 def equal_spellings(docs: DataFrame) -> DataFrame:

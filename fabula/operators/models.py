@@ -10,6 +10,18 @@ from fabula.operators.joins import band_join
 from fabula.operators.story import alike_names
 
 
+#: Patterns that one expression may combine.
+MOST_PATTERNS = 10_000
+
+
+def any_of(rules: DataFrame, column: str) -> str:
+    """One pattern for all of a list of rules, so that a row is matched once instead of joined with every rule; more than MOST_PATTERNS are refused."""
+    patterns = [r[0] for r in rules.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(patterns) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns: a list of rules was expected, not a table")
+    return "|".join(f"(?:{p})" for p in sorted(patterns)) or "(?!)"
+
+
 def entity_filter(entities: DataFrame, system: DataFrame, rejected: DataFrame, overrides: DataFrame) -> DataFrame:
     """Keep or drop each entity: project override, then user rejection, then system pattern, else keep. A rule for the entity's type beats one for all types.
 
@@ -19,7 +31,7 @@ def entity_filter(entities: DataFrame, system: DataFrame, rejected: DataFrame, o
         j = j.select("e.entity_id", F.col("r.keep").alias(flag), F.row_number().over(Window.partitionBy("e.entity_id").orderBy(F.col("r.entity_type").isNull(), F.col("r.keep"))).alias("rank"))
         return j.filter("rank = 1").drop("rank")
 
-    hit = entities.alias("e").join(F.broadcast(system), F.expr("e.name rlike pattern"), "left_semi").select("entity_id", F.lit(True).alias("hit"))
+    hit = entities.filter(F.col("name").rlike(any_of(system, "pattern"))).select("entity_id", F.lit(True).alias("hit"))
     out = entities.join(best(overrides, "o"), "entity_id", "left").join(best(rejected, "u"), "entity_id", "left").join(hit, "entity_id", "left")
     by = F.when(F.col("o").isNotNull(), "override").when(F.col("u").isNotNull(), "user").when(F.col("hit").isNotNull(), "system").otherwise("default")
     return out.select("entity_id", F.coalesce("o", "u", ~F.col("hit"), F.lit(True)).alias("keep"), by.alias("decided_by"))

@@ -55,14 +55,18 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def clustering_coefficients(edges: DataFrame) -> DataFrame:
-    """Triangles at each node over its pairs of neighbours; edges point from the lesser to the greater node.
+    """Triangles at each node over its pairs of neighbours; edges are (a, b) with a < b.
 
-    Triangles are closed by equi-joins of edges, each counted once in order of nodes."""
+    Each edge is turned from its end of lower degree to that of higher degree (ties by id), so that a node has at most about the square root of twice the number of edges going out, however
+    many come in: a hub forms no pairs of its many neighbours. Triangles are two edges out of a node, closed by an equi-join, each found once."""
     e = edges.select("a", "b").distinct()
-    wedge = e.alias("x").join(e.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("x.b").alias("m"), F.col("y.b").alias("b"))
-    closed = wedge.join(e, ["a", "b"])
-    triangles = closed.select(F.explode(F.array("a", "m", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     degree = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    d = lambda n: degree.select(F.col("node").alias(n), F.struct("degree", F.col("node").alias("id")).alias(f"rank_{n}"))
+    ranked = e.join(d("a"), "a").join(d("b"), "b")
+    out = ranked.select(F.least("rank_a", "rank_b").alias("low"), F.greatest("rank_a", "rank_b").alias("high")).select(F.col("low.id").alias("low"), "high")
+    wedge = out.alias("x").join(out.alias("y"), F.col("x.low") == F.col("y.low")).filter(F.col("x.high") < F.col("y.high")).select(F.col("x.low").alias("m"), F.col("x.high.id").alias("p"), F.col("y.high.id").alias("q"))
+    closed = wedge.join(out.select(F.col("low").alias("p"), F.col("high.id").alias("q")), ["p", "q"])
+    triangles = closed.select(F.explode(F.array("p", "m", "q")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     t = F.coalesce("triangles", F.lit(0))
     return degree.join(triangles, "node", "left").select("node", "degree", t.alias("triangles"), F.when(F.col("degree") < 2, 0.0).otherwise(F.round(2 * t / (F.col("degree") * (F.col("degree") - 1)), 6)).alias("coefficient"))
 

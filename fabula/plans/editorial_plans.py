@@ -267,8 +267,9 @@ def word_difficulty(spark, sf_dir):
     return D.word_difficulty(_docs(spark, sf_dir))
 
 
-@query("""WITH l AS (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events), k AS (SELECT * FROM l WHERE event_type <> 'error' AND nx IS DISTINCT FROM 'error'),
-r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_actions FROM k QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, n_actions, event_id, event_type, value FROM r""")
+@query("""WITH s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+m AS (SELECT *, s - least(0, min(s) OVER w) AS h FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT *, min(h) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM m),
+r AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n_actions FROM k WHERE event_type <> 'error' AND low >= h QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT user_id, n_actions, event_id, event_type, value FROM r""")
 def state_after_undo(spark, sf_dir):
     return D.after_undo(load(spark, sf_dir, "events"), "error")
 

@@ -14,11 +14,13 @@ from fabula.operators import speakers as S
 from fabula.operators import spelling as O
 from fabula.operators import structure as R
 from fabula.operators import versions as V
+from fabula.operators import vital as B
 from fabula.plans.catalog import query
 from fabula.plans.story_plans import _interactions
 from fabula.plans.style_plans import CHAP, QUOTED, TOK, WORD, sentences_sql
 from fabula.sources.shared import written
 from fabula.sources.tables import CAST, load
+from fabula.streaming import events as E
 
 
 def _docs(spark, d):
@@ -182,3 +184,25 @@ def entity_attributes(spark, sf_dir):
 @query()
 def attribute_contradictions(spark, sf_dir):
     return A.contradictions(entity_attributes(spark, sf_dir))
+
+
+#: Words of the supplied tables' prose that stand for telling a death and for acting, as it tells neither: function words, in plain text.
+GONE, DOES = "was +[a-z]+|fue +[a-z]+|war +[a-z]+", "(?:is|has|to|es|se|ist|zu|est|a) +[a-z]+"
+
+
+@query()
+def deaths(spark, sf_dir):
+    docs, _, mentions = _named(spark, sf_dir)
+    return B.deaths(docs, mentions, f"{B.DEATH}|{GONE}")
+
+
+@query()
+def post_mortem_appearances(spark, sf_dir):
+    docs, _, mentions = _named(spark, sf_dir)
+    return B.post_mortem(docs, mentions, written(B.deaths(docs, mentions, f"{B.DEATH}|{GONE}")), f"{B.ACTIONS}|{DOES}")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
+def replayed_event_windows(spark, sf_dir):
+    """The event log replayed as a stream into tumbling windows; the last update of each window."""
+    return E.replayed_windows(spark, f"{sf_dir}/events.parquet")

@@ -76,8 +76,20 @@ def test_empty_and_null_texts(spark):
 
 
 def test_undo_difficulty_and_spellings(spark):
-    log = spark.createDataFrame([(1, 1, "a", 1.0, 1), (1, 2, "b", 2.0, 2), (1, 3, "undo", 0.0, 3), (1, 4, "undo", 0.0, 4), (2, 5, "undo", 0.0, 1)], "user_id long, event_id long, event_type string, value double, ts long")
-    assert [tuple(r) for r in editorial.after_undo(log, "undo").collect()] == [(1, 1, 1, "a", 1.0)]
+    rng, rows, want = random.Random(1), [], {}
+    for user in range(30):
+        stack = []
+        for i in range(rng.randrange(25)):
+            kind = rng.choice(["a", "b", "undo", "undo"])
+            rows.append((user, 100 * user + i, kind, float(i), i // 2))
+            if kind != "undo":
+                stack.append(rows[-1])
+            elif stack:
+                stack.pop()
+        if stack:
+            want[user] = (len(stack), *stack[-1][1:4])
+    log = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double, ts long")
+    assert {r[0]: tuple(r)[1:] for r in editorial.after_undo(log, "undo").collect()} == want and len(want) > 10
     r = editorial.word_difficulty(docs(spark, "sol sol mariposa", None)).first()
     assert (r.n_words, r.simple, r.complex, r.diversity) == (3, round(2 / 3, 6), round(1 / 3, 6), round(2 / 3, 6))
     assert [(r.norm, r.forms, r.canonical) for r in editorial.equal_spellings(docs(spark, "Ávila Avila Ávila Toledo", "")).collect()] == [("avila", 2, "Ávila")]

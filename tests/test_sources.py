@@ -68,3 +68,18 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert {(r.user_id, r.event_type): r.weight for r in weights.collect()} == {(r.project_id, r.alert_type): r.weight for r in ref.collect()}
     pairs = S.run_to_memory(S.continuity(S.stream(spark, str(src))), "pairs", "append", str(tmp_path / "c3"))
     assert pairs.count() > 0 and pairs.filter("closed <= opened").count() == 0
+    few = S.run_to_memory(S.continuity(S.stream(spark, str(src)), most_open=1), "few", "append", str(tmp_path / "c4"))
+    assert few.filter("closed is null").count() > 0 and few.filter("closed <= opened").count() == 0
+
+
+def test_state_is_given_up_after_its_time(spark, tmp_path):
+    src = tmp_path / "log"
+    rows = [(1, "2024-01-01 00:00:00", 1, "purchase", 1.0), (2, "2024-01-01 00:10:00", 2, "purchase", 1.0), (3, "2024-06-01 00:00:00", 2, "error", 1.0), (4, "2024-06-01 01:00:00", 3, "error", 1.0), (5, "2024-06-02 00:00:00", 3, "error", 1.0)]
+    for r in rows:  # a file, and so a batch, for each event
+        df = spark.createDataFrame([r], "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(src))
+    pairs = S.run_to_memory(S.continuity(S.stream(spark, str(src)), keep_hours=24), "late_pairs", "append", str(tmp_path / "c5"))
+    assert (1, 1, None) in {tuple(r) for r in pairs.collect()}
+    whole = S.replayed_windows(spark, str(src))
+    assert sorted((str(r.start), r.event_type, r.n) for r in whole.collect()) == [
+        ("2024-01-01 00:00:00", "purchase", 2), ("2024-06-01 00:00:00", "error", 1), ("2024-06-01 01:00:00", "error", 1), ("2024-06-02 00:00:00", "error", 1)]

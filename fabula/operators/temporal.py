@@ -132,7 +132,7 @@ _PARTICIPLE = "(?:[a-z]+(?:ado|ido)|dicho|hecho|visto|puesto|vuelto|muerto|escri
 #: Signs that a text leaves the order of telling, by the verb forms that carry them: the pluperfect and verbs of memory look back, the conditional and
 #: periphrases of the future look ahead, the imperfect subjunctive after its particles leaves what happens.
 ORDER_SIGNALS = {
-    "retrospective": f"hab(?:ia|ias|iamos|ian) +(?:sido +)?{_PARTICIPLE}|(?:record|evoc|rememor|anor)(?:o|aba|aban|ando|aron)|{AMOUNT} +{_either(*BEHIND['after'])}|en +(?:aquel|aquella|aquellos|aquellas) +(?:dias|epoca|tiempos?|anos)",
+    "retrospective": f"hab(?:ia|ias|iamos|iais|ian) +(?:sido +)?{_PARTICIPLE}|(?:record|evoc|rememor|anor)(?:o|aba|aban|ando|aron)|{AMOUNT} +{_either(*BEHIND['after'])}|en +(?:aquel|aquella|aquellos|aquellas) +(?:dias|epoca|tiempos?|anos)",
     "prospective": f"ib(?:a|an|amos) +a +[a-z]+[aei]r|habri(?:a|an) +de +[a-z]+[aei]r|{AMOUNT} +{_either(*AHEAD['after'])}|algun +dia|(?:todavia|aun) +no +sab(?:ia|ian)",
     "hypothetical": "(?:como +si|si|ojala|quien) +(?:no +)?(?:se +|lo +|la +|le +)?(?:fuera|fuese|[a-z]+(?:iera|iese|ara|ase))[sn]?"}
 

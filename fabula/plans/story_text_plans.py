@@ -9,6 +9,7 @@ from fabula.operators import attributes as A
 from fabula.operators import chains as H
 from fabula.operators import chunks as K
 from fabula.operators import clusters as G
+from fabula.operators import energy as Y
 from fabula.operators import mentions as M
 from fabula.operators import speakers as S
 from fabula.operators import spelling as O
@@ -17,7 +18,7 @@ from fabula.operators import versions as V
 from fabula.operators import vital as B
 from fabula.plans.catalog import query
 from fabula.plans.story_plans import _interactions
-from fabula.plans.style_plans import CHAP, QUOTED, TOK, WORD, sentences_sql
+from fabula.plans.style_plans import CHAP, QUOTED, SENT, TOK, WORD, sentences_sql
 from fabula.sources.shared import written
 from fabula.sources.tables import CAST, load
 from fabula.streaming import events as E
@@ -206,3 +207,13 @@ def post_mortem_appearances(spark, sf_dir):
 def replayed_event_windows(spark, sf_dir):
     """The event log replayed as a stream into tumbling windows; the last update of each window."""
     return E.replayed_windows(spark, f"{sf_dir}/events.parquet")
+
+
+@query(Y.energy_sql(SENT, WORD))
+def sentence_energy(spark, sf_dir):
+    return Y.sentence_energy(_docs(spark, sf_dir))
+
+
+@query(Y.usage_sql())
+def usage_findings(spark, sf_dir):
+    return Y.usage_findings(_docs(spark, sf_dir))

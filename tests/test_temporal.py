@@ -3,7 +3,7 @@ from itertools import pairwise
 
 import pytest
 
-from fabula.operators import corrections, style, temporal, voice
+from fabula.operators import corrections, energy, style, temporal, voice
 from tests.comparing import query_and_oracle
 
 SCHEMA = "doc_id long, text string"
@@ -14,6 +14,7 @@ SPANISH = [
     "Dentro de 5 días, al cabo de un mes, cinco años atrás. Tenía 300 años. Entonces soñó que su padre había muerto. Por eso lloraba.",
     "Había vivido allí, y recordó aquellos días.\nIba a volver algún día. Si lo supiera, como si fuera fácil.\nHabía sido así.\nDos días después iba a llover.\n\nLuego habíais visto la nave.",
     "más tarde más tarde, la semana pasada y la noche anterior; el mes que viene. A los quince años, cada día, todos los meses. Dixo a vuestra merced que la philosophía.",
+    "Creo de que habemos muchos. Subió para arriba y estoy segura que la agua y las casa y el canción son suyas. ¡La dio un golpe y la dijo que no! Fue visto por todos en la ciudad?",
     None, "", "sin nada, 3 de mayo", "1999 1999 en 2001 y 3050, canción1999 hace_dos años", "Hace unos años. Estaba triste. Se sintió cansada. Días después, una pesadilla.",
 ]
 
@@ -26,7 +27,7 @@ def prose(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["temporal_markers", "temporal_marker_counts", "non_linear_signals", "chapter_orders", "event_signals", "classical_spellings", "continuity_signals"])
+@pytest.mark.parametrize("name", ["temporal_markers", "temporal_marker_counts", "non_linear_signals", "chapter_orders", "event_signals", "classical_spellings", "continuity_signals", "sentence_energy", "usage_findings"])
 def test_queries_over_spanish_prose_agree_with_their_sql(spark, prose, name):
     got, want = query_and_oracle(spark, prose, name)
     assert len(want) >= 3 and got == want
@@ -44,12 +45,12 @@ def test_markers_and_their_values(spark):
     assert values(of[0, "al dia siguiente"])[:5] == ("relative_time", "future", 1, "dia", 1.0) and of[0, "poco despues"].days == 1 / 24
     assert values(of[1, "hace tres semanas"])[:5] == ("relative_time", "past", 3, "semana", -21.0)
     assert values(of[1, "durante varios meses"])[:5] == ("duration", None, None, "mes", None)
-    assert (of[1, "enero de 1990"].month, of[1, "ano 1812"].year, of[7, "3 de mayo"].day, of[7, "3 de mayo"].year) == (1, 1812, 3, None)
+    assert (of[1, "enero de 1990"].month, of[1, "ano 1812"].year, of[8, "3 de mayo"].day, of[8, "3 de mayo"].year) == (1, 1812, 3, None)
     assert of[2, "dentro de 5 dias"].days == 5.0 and of[2, "cinco anos atras"].days == -1825.0 and of[2, "al cabo de un mes"].days == 30.0
     assert values(of[4, "la semana pasada"])[:5] == ("relative_time", "past", 1, "semana", -7.0) and of[4, "el mes que viene"].days == 30.0
     assert of[4, "la noche anterior"].days == -1.0 and of[4, "a los quince anos"].age == 15 and of[4, "todos los meses"].kind == "frequency"
-    assert of[9, "hace unos anos"].quantity is None and of[9, "hace unos anos"].direction == "past"
-    assert sorted(r.text for r in rows if r.doc_id == 8) == ["1999", "1999", "2001"] and not [r for r in rows if r.doc_id in (5, 6)]
+    assert of[10, "hace unos anos"].quantity is None and of[10, "hace unos anos"].direction == "past"
+    assert sorted(r.text for r in rows if r.doc_id == 9) == ["1999", "1999", "2001"] and not [r for r in rows if r.doc_id in (5, 6, 7)]
     ordered = sorted(rows, key=lambda r: (r.doc_id, r.start))
     assert all(a.stop <= b.start for a, b in pairwise(ordered) if a.doc_id == b.doc_id)
     assert of[0, "15 de marzo de 1985"].confidence == 0.9 and of[1, "nunca"].confidence == 0.6
@@ -86,3 +87,15 @@ def test_word_lists_hold_real_entries(spark):
     assert [x.tone for x in voice.tone(lines).orderBy("turn").collect()] == [1.0, -1.0]
     assert {x.rule for x in corrections.rule_counts(spark.createDataFrame([(1, "Creo de que habemos muchos. Subir arriba.")], SCHEMA)).collect()} == {"dequeismo", "habemos", "redundancy"}
     assert corrections.orthographic_variants(spark.createDataFrame([(1, "Obscuro setiembre")], SCHEMA)).count() == 2
+
+
+def test_usage_and_energy(spark):
+    docs = spark.createDataFrame([(1, SPANISH[5]), (2, None)], SCHEMA)
+    found = {r.kind: (r.text, r.suggestion) for r in energy.usage_findings(docs).collect()}
+    assert found["dequeismo"] == ("creo de que", "creo que") and found["redundancy"] == ("subio para arriba", "subio") and found["queismo"] == ("estoy segura que", "estoy segura de que")
+    assert found["stressed_a"] == ("la agua", "el agua") and found["number_agreement"] == ("las casa", "las casas") and found["gender_agreement"] == ("el cancion", "la cancion")
+    assert found["laismo"][1].startswith("le di")
+    e = {r.sent_idx: (r.voice, r.verb, r.structure) for r in energy.sentence_energy(docs).collect()}
+    assert e[3][0] == 30.0 and e[3][2] == 85.0 and e[2][2] == 90.0
+    one = energy.sentence_energy(spark.createDataFrame([(1, " ".join(["salta"] * 35) + "."), (2, " ".join(["salta"] * 50) + ".")], SCHEMA)).orderBy("doc_id").collect()
+    assert [(r.structure, r.energy, r.level) for r in one] == [(60.0, 92.0, "very_high"), (55.0, 91.0, "very_high")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fabula.operators.joins import as_of
 from fabula.operators.temporal import located
+from fabula.sources.shared import written
 
 _COLOUR = "(?:azul|verde|negr[oa]|castan[oa]|marron|gris|rubi[oa]|pelirroj[oa]|moren[oa]|blanc[oa]|canos[oa]|roj[oa])(?:e?s)?"
 #: Kinds of attribute and how prose states them, in plain text; `value` takes what is stated out of the hit.
@@ -49,7 +50,7 @@ def resolve(found: DataFrame) -> DataFrame:
 
     A span on which equally good rules name two entities is ambiguous: the smaller entity_id stands and confidence is halved."""
     rank = F.array_position(F.array(*map(F.lit, RULES)), F.col("rule"))
-    r = found.withColumn("rank", rank)
+    r = written(found.withColumn("rank", rank))
     best = r.groupBy("doc_id", "start", "stop", "key", "value", "negated").agg(F.min(F.struct("rank", "entity_id")).alias("b"))
     ties = r.groupBy("doc_id", "start", "stop", "key", "rank").agg(F.countDistinct("entity_id").alias("n_entities"))
     one = best.select("doc_id", "start", "stop", "key", "value", "negated", "b.rank", "b.entity_id").join(ties, ["doc_id", "start", "stop", "key", "rank"])

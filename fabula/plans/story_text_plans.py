@@ -7,6 +7,7 @@ from fabula.functions import lexicons as L
 from fabula.functions import text as T
 from fabula.operators import attributes as A
 from fabula.operators import chains as H
+from fabula.operators import character as Q
 from fabula.operators import chunks as K
 from fabula.operators import clusters as G
 from fabula.operators import energy as Y
@@ -17,7 +18,7 @@ from fabula.operators import structure as R
 from fabula.operators import versions as V
 from fabula.operators import vital as B
 from fabula.plans.catalog import query
-from fabula.plans.story_plans import _interactions
+from fabula.plans.story_plans import INTERACTIONS, _interactions
 from fabula.plans.style_plans import CHAP, QUOTED, SENT, TOK, WORD, sentences_sql
 from fabula.sources.shared import written
 from fabula.sources.tables import CAST, load
@@ -125,13 +126,13 @@ f AS (SELECT doc_id, chapter, sent_idx, direction, min(other) AS told_in, arg_mi
 SELECT doc_id, chapter, sent_idx, direction, len(ws) AS n_keywords, coalesce(told_in, 0) AS told_in, coalesce(shared, 0) AS shared FROM k LEFT JOIN f USING (doc_id, chapter, sent_idx, direction)""")
 def told_elsewhere(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return R.told_elsewhere(docs, R.references(docs, TENSES))
+    return R.told_elsewhere(docs, written(R.references(docs, TENSES)))
 
 
 @query()
 def prolepses_and_analepses(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return R.told_elsewhere(docs, R.references(docs))
+    return R.told_elsewhere(docs, written(R.references(docs)))
 
 
 @query()
@@ -143,7 +144,7 @@ def name_clusters(spark, sf_dir):
 
 @query()
 def pairs_within_name_clusters(spark, sf_dir):
-    return G.pairs_within(name_clusters(spark, sf_dir))
+    return G.pairs_within(written(name_clusters(spark, sf_dir)))
 
 
 @query()
@@ -162,7 +163,7 @@ def text_chunks(spark, sf_dir):
 def misspellings(spark, sf_dir):
     """Words near a common word of the corpus but not in its dictionary; the names that texts hold are known."""
     docs = _docs(spark, sf_dir)
-    return O.misspelling_summary(O.misspellings(docs, M.entities_of(docs)))
+    return O.misspelling_summary(written(O.misspellings(docs, M.entities_of(docs))))
 
 
 @query(f"""WITH {TOK}, t AS (SELECT doc_id, word_idx, translate(token, '{T.PLAIN_FROM}', '{T.PLAIN_TO}') AS word FROM tok WHERE length(token) >= 4),
@@ -184,7 +185,7 @@ def entity_attributes(spark, sf_dir):
 
 @query()
 def attribute_contradictions(spark, sf_dir):
-    return A.contradictions(entity_attributes(spark, sf_dir))
+    return A.contradictions(written(entity_attributes(spark, sf_dir)))
 
 
 #: Words of the supplied tables' prose that stand for telling a death and for acting, as it tells neither: function words, in plain text.
@@ -217,3 +218,36 @@ def sentence_energy(spark, sf_dir):
 @query(Y.usage_sql())
 def usage_findings(spark, sf_dir):
     return Y.usage_findings(_docs(spark, sf_dir))
+
+
+_TURNS = "lines AS (SELECT conv_id AS story, role AS speaker, turn // 4 AS chapter, text FROM conversations)"
+
+
+@query(Q.out_of_character_sql(_TURNS))
+def out_of_character(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    return Q.out_of_character(c.select(F.col("conv_id").alias("story"), F.col("role").alias("speaker"), F.floor(F.col("turn") / 4).alias("chapter"), "text"))
+
+
+_FULL = lambda x: f"CASE WHEN ({x}) IS NOT NULL THEN round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, {x})), 4) END"
+_MEANS = " + ".join(f"coalesce({d} * {w}, 0)" for d, w in Q.WEIGHTS.items() if d not in ("goal", "stakes"))
+_SHARES = " + ".join(f"CASE WHEN {d} IS NOT NULL THEN {w} ELSE 0 END" for d, w in Q.WEIGHTS.items() if d not in ("goal", "stakes"))
+_KNOWN = " + ".join(f"CAST({d} IS NOT NULL AS BIGINT)" for d in Q.WEIGHTS if d not in ("goal", "stakes"))
+
+
+@query(f"""WITH {INTERACTIONS}, i AS (SELECT a // {CAST} AS story, chapter, a, b, tone / 100.0::DOUBLE AS tone FROM p), m AS (SELECT story, chapter, a AS e FROM i UNION ALL SELECT story, chapter, b FROM i),
+g AS (SELECT story, e, count(*) AS n, min(chapter) AS f, max(chapter) AS l FROM m GROUP BY 1, 2),
+c AS (SELECT story, max(n) AS top, avg(n) AS mean, CAST(sum(n) AS DOUBLE) AS total, count(*) AS k, CAST(sum(n * n) AS DOUBLE) AS sq, count(*) FILTER (f <= 3) AS early, count(*) FILTER (f <= 3 AND l > 3) AS again FROM g GROUP BY 1),
+h AS (SELECT story, count(*) AS n_chapters, avg(n) AS pm, stddev_pop(n) AS ps FROM (SELECT story, chapter, count(*) AS n FROM m GROUP BY 1, 2) GROUP BY 1), pl AS (SELECT DISTINCT story, chapter, e FROM m),
+s AS (SELECT x.story, count(*) AS shared FROM pl x JOIN pl y ON x.story = y.story AND x.e = y.e AND x.chapter = y.chapter + 1 GROUP BY 1), la AS (SELECT story, count(*) AS later FROM (SELECT *, min(chapter) OVER (PARTITION BY story) AS fc FROM pl) WHERE chapter > fc GROUP BY 1),
+t AS (SELECT story, chapter, avg(tone) AS tone, count(*) AS m, count(*) FILTER (tone < 0) AS hostile FROM i GROUP BY 1, 2),
+r AS (SELECT story, sum(hostile) AS hostile, sum(m) AS m, max(tone) AS hi, min(tone) AS lo, arg_min(chapter, row(tone, chapter)) AS low_at, max(chapter) AS fin, arg_max(tone, chapter) AS ft, min(chapter) AS beg FROM t GROUP BY 1),
+d AS (SELECT story, n_chapters, {_FULL("50.0 * top / mean / 2")} AS protagonist, {_FULL("CASE WHEN k > 1 THEN 100.0 * (1 - sq / (total * total)) / (1 - 1.0::DOUBLE / k) END")} AS cast_balance, {_FULL("100.0 * (1 - ps / pm)")} AS pacing,
+  CASE WHEN later > 0 THEN {_FULL("100.0 * coalesce(shared, 0) / later")} END AS coherence, CASE WHEN early > 0 THEN {_FULL("100.0::DOUBLE * again / early")} END AS chekhov, {_FULL(f"100.0::DOUBLE * n_chapters / {Q.FULL_STRUCTURE}")} AS structure, {_FULL("200.0::DOUBLE * hostile / m")} AS conflict,
+  CASE WHEN fin > beg THEN {_FULL("100.0::DOUBLE * (low_at - beg) / (fin - beg)")} END AS climax, {_FULL("100.0 * (ft - lo)")} AS resolution, {_FULL("100.0 * (hi - lo)")} AS emotional_arc FROM c JOIN h USING (story) LEFT JOIN s USING (story) LEFT JOIN la USING (story) LEFT JOIN r USING (story)),
+z AS (SELECT story, n_chapters, {_KNOWN} AS n_dimensions, CASE WHEN n_chapters < 2 THEN 0.0 ELSE round(CAST(({_MEANS}) / ({_SHARES}) AS DOUBLE), 3) END AS score FROM d)
+SELECT *, CASE WHEN score >= {Q.WELL} THEN 'well' WHEN score >= {Q.DOUBTFUL} THEN 'doubtful' ELSE 'critical' END AS status FROM z""")
+def narrative_health(spark, sf_dir):
+    i = written(_interactions(spark, sf_dir).select(F.floor(F.col("a") / CAST).alias("story"), "chapter", "a", "b", (F.col("tone_pct") / 100).alias("tone")))
+    mentions = i.select("story", "chapter", F.explode(F.array("a", "b")).alias("entity_id"))
+    return Q.health(Q.dimensions(mentions, i))

@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of edges (a, b); nodes are numbers or strings. Loops make a node known; nulls are left out.
 
     Large and small stars in turn: every node points its larger neighbours, then its smaller ones, to the least node it knows. A node with very many
-    neighbours is a minimum and a join, no list."""
+    neighbours is a minimum and a join, no list; minima are written, so that the join reads plain rows and splits such a node."""
     known = edges.filter("a is not null and b is not null")
     nodes = known.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     e = written(known.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -25,9 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := _state(e)) != state:
         state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        to = large.groupBy("u").agg(F.min("v").alias("m"))
+        to = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(to, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(to.select("u", F.col("m").alias("v"))).distinct())
     found = e.groupBy("u").agg(F.min("v").alias("component"))

@@ -1,3 +1,8 @@
+import html
+import re
+
+import pyarrow.parquet as pq
+
 from fabula.llm.html_text import extract, main_text
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
@@ -33,3 +38,18 @@ def test_table(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(((r.page_id or 0), r.n_chars == len(r.text)) for r in got) == [(0, True), (1, True), (1, True)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def plain(source):
+    """The text of the page's only article by substitutions, without white space."""
+    inner = re.search(r"<article[^>]*>(.*?)</article>", source, re.S | re.I)[1]
+    for drop in (r"<!--.*?-->", r"<(script|style|nav|aside|form|footer|header)\b.*?</\1>", r'<div class="(?:ad|comments?|share|related|promo)[^"]*">.*?</div>', r"<[^>]+>"):
+        inner = re.sub(drop, " ", inner, flags=re.S | re.I)
+    return re.sub(r"\s+", "", html.unescape(inner))
+
+
+def test_every_page_gives_the_text_of_its_article():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert len(pages) > 200
+    for p in pages:
+        assert re.sub(r"\s+", "", main_text(p["html"])) == plain(p["html"]), p["page_id"]

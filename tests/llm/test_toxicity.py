@@ -94,3 +94,14 @@ def test_the_prior_is_chosen_inside_the_training_rows():
     slope, offset = X._prior(x, y, fold)
     assert (slope, offset) in X.PRIORS and slope == 12.0  # the classes hardly overlap
     assert X._prior(x, np.zeros(400), fold) == X._prior(x[:3], y[:3], fold[:3]) == X.PRIORS[0]
+
+
+def test_scores_equal_brute_force_over_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = X.learn(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), seed=X.SEED)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = X.scores(docs, model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, naive(texts[r.doc_id], model) * model.slope + model.offset))))
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)

@@ -6,8 +6,8 @@ vector met in at least `threshold` windows is verified by its exact inner produc
 verified vector lies within the radius that the windows stand for; if it never does, the windows end up holding everything,
 so that the answer is complete. Largest inner product is made nearest distance by one more dimension.
 
-Data and queries are dealt into blocks by hash; a task answers a block of queries on a block of data, and the best k of
-each are merged. No task grows with the data, and nothing is collected. Every vector is indexed.
+Data are dealt into blocks by hash; a block's index is built once, in one task, and the queries stream past it, so no vector is copied from block to block and memory is bounded by a
+block. The best k of each block are merged. Nothing is collected. Every vector is indexed. Every query meets every block: work grows with vectors times queries.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 with a null vec_id; of repeated vec_ids the least vector counts; vectors are compared with those of equal length only; with
@@ -17,6 +17,8 @@ fewer than k candidates all are returned; ties go to the smaller vec_id; extra c
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ HALF = 1.0
 #: How many deviations below its expected meetings a vector at the radius may fall and still be verified.
 SLACK = 1.3
 FIRST_RADIUS, WIDEN = 0.5, 1.15
-DATA_BLOCK, QUERY_BLOCK = 16_384, 1_024
+DATA_BLOCK = 16_384
 
 
 def usable(vector: Column) -> Column:
@@ -95,8 +97,7 @@ class Index:
         return self.ids[close][best], exact[best]
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def _matrix(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
@@ -107,25 +108,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return df.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).groupBy("vec_id").agg(F.min(F.col("embedding").cast("array<double>")).alias("embedding"))
 
     data, asked = written(tidy(vectors)), written(tidy(queries))
-    blocks, query_blocks = max(1, math.ceil(data.count() / DATA_BLOCK)), max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    blocks = max(1, math.ceil(data.count() / DATA_BLOCK))
+    # with fewer blocks than cores, queries are dealt into lots, each with its own copy of the blocks
+    lots = max(1, vectors.sparkSession.sparkContext.defaultParallelism // blocks)
     dim = F.size("embedding").alias("dim")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sides = data.select(dim, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), spread(query_blocks).alias("query_block"), F.lit(False).alias("asks"), "vec_id", "embedding").unionByName(
-        asked.select(dim, spread(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), F.lit(True).alias("asks"), "vec_id", "embedding"))
-
-    def answer(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy(zero_copy_only=False)
-        ids, x = t.column("vec_id").to_numpy(), _matrix(t.column("embedding"))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if asks.any() and not asks.all():
-            index = Index(ids[~asks], x[~asks])
-            for own, q in zip(ids[asks], x[asks], strict=True):
-                got, products = index.search(int(own), q, k)
-                out.append((np.full(len(got), own), got, products))
-        parts = [np.concatenate(p) if out else np.empty(0, t) for p, t in zip(zip(*out, strict=True) if out else ((), (), ()), (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table({"query_id": parts[0].astype(np.int64), "vec_id": parts[1].astype(np.int64), "score": parts[2]})
-
-    found = sides.groupBy("dim", "block", "query_block").applyInArrow(answer, "query_id long, vec_id long, score double")
+    sides = data.select(dim, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), spread(lots).alias("lot"), F.lit(False).alias("asks"), "vec_id", "embedding").unionByName(
+        asked.select(dim, spread(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(lots)).cast("int").alias("lot"), F.lit(True).alias("asks"), "vec_id", "embedding"))
+
+    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come one after the other, first a block's vectors, then its queries, which stream past its index."""
+        now, ids, rows, index = None, [], [], None
+        for b in it:
+            key = list(zip(*(b.column(c).to_pylist() for c in ("dim", "block", "lot", "asks")), strict=True))
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+            for lo, hi in pairwise(cuts):
+                if lo == hi:
+                    continue
+                part, (*where, asks) = b.slice(lo, hi - lo), key[lo]
+                if where != now:
+                    now, ids, rows, index = where, [], [], None
+                if not asks:
+                    ids.append(part.column("vec_id").to_numpy())
+                    rows.append(_matrix(part.column("embedding")))
+                    continue
+                if index is None and ids:
+                    index = Index(np.concatenate(ids), np.concatenate(rows))
+                    ids, rows = [], []
+                if index is None:
+                    continue
+                found = [(own, *index.search(int(own), q, k)) for own, q in zip(part.column("vec_id").to_numpy(), _matrix(part.column("embedding")), strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([np.full(len(got), own) for own, got, _ in found]), pa.int64()), pa.array(np.concatenate([got for _, got, _ in found]), pa.int64()),
+                    pa.array(np.concatenate([products for *_, products in found]), pa.float64())], names=["query_id", "vec_id", "score"])
+
+    dealt = sides.repartition("dim", "block", "lot").sortWithinPartitions("dim", "block", "lot", "asks")
+    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -35,12 +35,13 @@ def test_small_table_is_complete(spark):
 
 def test_recall_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "DATA_BLOCK", 700)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "90")  # blocks and batches end at different rows
     g = np.random.default_rng(1)
     data = [(i, [float(x) for x in g.standard_normal(32).astype(np.float32) * (1 + i % 3)], 0) for i in range(2000)]
     got = {}
     for r in ann.digest(spark.createDataFrame(data, SCHEMA)).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {q: {i for _, i in rows} for q, rows in brute(data, 20).items()}
     assert all(len(v) == 20 for v in got.values())
     assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.9

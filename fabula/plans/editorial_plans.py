@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from fabula.operators import corrections as C
 from fabula.operators import editorial as D
 from fabula.operators import temporal as P
 from fabula.operators import texts as X

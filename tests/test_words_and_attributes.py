@@ -77,3 +77,15 @@ def test_cascade_and_ties(spark):
 def test_edited_versions_and_casts_are_derived_from_the_tables(spark):
     docs = spark.createDataFrame([(4, "Uno Dos\nTres.\nCuatro"), (5, None)], DOC)
     assert story_text_plans.edited(docs).count() == 2 and {r.name for r in story_text_plans._cast(docs).collect()} == {"Uno Dos", "Tres", "Cuatro"}
+
+
+def test_asked_words_are_not_broadcast_where_the_dictionary_is_large(spark, monkeypatch):
+    from fabula.operators import joins
+    from fabula.sources.shared import written
+
+    asked = written(spark.createDataFrame([("casza",), ("perrro",), ("mariposaz",)], "word string"))
+    dictionary = written(spark.createDataFrame([("casa", 9), ("perro", 8), ("mariposas", 7)], "word string, n long"))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    found = O.suggestions(asked, dictionary)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.word, r.suggestion, r.distance) for r in found.collect()} == {("casza", "casa", 1), ("perrro", "perro", 1), ("mariposaz", "mariposas", 1)}

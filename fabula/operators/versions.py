@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
+from fabula.operators.joins import by_merge
 from fabula.sources import tables
 from fabula.sources.shared import written
 
@@ -101,7 +102,7 @@ def matched_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     Lines that occur once in each version are joined; of these the longest run in both orders are anchors. Lines between two anchors are aligned piece by
     piece, so a task holds the line numbers of one text's anchors, or the lines of one piece."""
     once = lambda side, i: side.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.min(i).alias(i)).filter("n = 1").drop("n")
-    pairs = once(old, "i").join(once(new, "j"), ["doc_id", "hash"]).select("doc_id", "i", "j")
+    pairs = by_merge(once(old, "i")).join(once(new, "j"), ["doc_id", "hash"]).select("doc_id", "i", "j")
     schema = pa.schema([("doc_id", pa.int64()), ("i", pa.int64()), ("j", pa.int64())])
 
     def table(doc_id: int | None, found: list[tuple[int, int]]) -> pa.Table:
@@ -114,7 +115,7 @@ def matched_lines(old: DataFrame, new: DataFrame) -> DataFrame:
 
     def pieces(side: DataFrame, i: str) -> DataFrame:
         """The lines that are no anchors, with the number of anchors before them."""
-        marked = side.join(anchors.select("doc_id", i, F.lit(1).alias("anchor")), ["doc_id", i], "left")
+        marked = side.join(by_merge(anchors.select("doc_id", i, F.lit(1).alias("anchor"))), ["doc_id", i], "left")
         piece = F.coalesce(F.sum("anchor").over(Window.partitionBy("doc_id").orderBy(i).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
         return marked.withColumn("piece", piece).filter("anchor is null").select("doc_id", "piece", F.col(i).alias("at"), "hash", F.lit(i).alias("side"))
 
@@ -137,12 +138,12 @@ def opcodes(old: DataFrame, new: DataFrame) -> DataFrame:
 
     Texts are of one row each, in old and new (doc_id, text); a text that one side lacks isn't compared, a null text is empty."""
     a, b = written(_lines(old, "i")), written(_lines(new, "j"))
-    m = matched_lines(a, b).join(a.drop("hash"), ["doc_id", "i"]).join(b.drop("hash"), ["doc_id", "j"])
+    m = matched_lines(a, b).join(by_merge(a.drop("hash")), ["doc_id", "i"]).join(by_merge(b.drop("hash")), ["doc_id", "j"])
     order = Window.partitionBy("doc_id").orderBy("i")
     starts = F.when((F.col("i") - F.lag("i").over(order) == 1) & (F.col("j") - F.lag("j").over(order) == 1), 0).otherwise(1)
     runs = m.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edge = lambda side, i: side.groupBy("doc_id").agg((F.max(i) + 1).alias(i), (F.max(f"end_{i}") + 1).alias(f"start_{i}"))
-    ends = edge(a, "i").join(edge(b, "j"), "doc_id")
+    ends = by_merge(edge(a, "i")).join(edge(b, "j"), "doc_id")
     blocks = runs.groupBy("doc_id", "run").agg(
         F.min("i").alias("i1"), (F.max("i") + 1).alias("i2"), F.min("j").alias("j1"), (F.max("j") + 1).alias("j2"),
         F.min("start_i").alias("old_start"), F.max("end_i").alias("old_stop"), F.min("start_j").alias("new_start"), F.max("end_j").alias("new_stop")).drop("run")

@@ -100,3 +100,16 @@ def test_continuity_cases(spark):
         (1, 11): ("same", 0.99, "exact_canonical"), (2, 12): ("renamed", 1.0, "old_in_new_aliases"), (3, None): ("removed", 0.0, "not_matched"), (None, 13): ("new", 0.0, "new_entity"),
         (4, 14): ("renamed", round(0.78 + (5 / 6 - 0.8) * 0.35 + 0.04, 6), "token_overlap"), (5, 16): ("same", 1.0, "exact_canonical"), (6, None): ("removed", 0.0, "not_matched"),
         (None, 15): ("new", 0.0, "new_entity"), (None, 17): ("new", 0.0, "new_entity")}
+
+
+def _broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastExchange")
+
+
+def test_written_lines_are_never_broadcast(spark):
+    lines = "\n".join(f"line {i % 7} of {i}" for i in range(40))
+    docs = spark.createDataFrame([(k, lines) for k in range(5)], DOC)
+    ops = V.opcodes(docs, docs)
+    assert _broadcasts(ops) == 0 and {(r.doc_id, r.tag, r.i2) for r in ops.collect()} == {(k, "equal", 40) for k in range(5)}
+    assert _broadcasts(V.diff_summary(ops)) == 0

@@ -95,7 +95,7 @@ def headings(docs: DataFrame) -> DataFrame:
 
 def years(docs: DataFrame, low: int = 1000, high: int = 2029) -> DataFrame:
     """Numbers of four digits that can be years, counted in each text, with the narrowest epoch they all fit in."""
-    found = F.regexp_extract_all(T.empty_as(F.col("text")), F.lit(r"\b(\d{4})\b"), F.lit(1))
+    found = F.regexp_extract_all(T.empty_as(F.col("text")), F.lit(T.whole_words(r"\d{4}")), F.lit(0))
     y = docs.select("doc_id", F.explode(found).alias("y")).select("doc_id", F.col("y").cast("long").alias("y")).filter(F.col("y").between(low, high))
     g = y.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("y").alias("first_year"), F.max("y").alias("last_year"))
     epoch = F.lit("unknown")

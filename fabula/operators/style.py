@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fabula.functions import lexicons as L
 from fabula.functions import text as T
+from fabula.operators.joins import by_merge
 from fabula.sources import tables
+from fabula.sources.shared import written
 
 
 def lexical_repetition(docs: DataFrame, stop_words: list[str] = L.STOP_WORDS, max_distance: int = 50) -> DataFrame:
@@ -234,20 +236,16 @@ def register_changes(docs: DataFrame) -> DataFrame:
 
 
 def confused_words(docs: DataFrame, pairs: tuple[tuple[str, str], ...] = L.CONFUSED, span: int = 15) -> DataFrame:
-    """Words of confusion pairs with the other one within `span` words: an equi-join on document and a band on position."""
-    toks = tables.tokens(docs).select("doc_id", "word_idx", "token_lc")
-    a, b = toks.alias("a"), toks.alias("b")
-    out = None
-    for one, other in pairs:
-        left, right = a.filter(F.col("token_lc") == one), b.filter(F.col("token_lc") == other)
-        block = lambda c: F.floor(F.col(c) / (span + 1))
-        # a band join by blocks: the other word lies in the same block or the next one to either side
-        near = left.select(F.col("doc_id"), F.col("word_idx"), F.explode(F.array(block("word_idx") - 1, block("word_idx"), block("word_idx") + 1)).alias("block"))
-        far = right.select(F.col("doc_id"), F.col("word_idx").alias("o_idx"), block("word_idx").alias("block"))
-        hits = near.join(far, ["doc_id", "block"]).filter(F.abs(F.col("word_idx") - F.col("o_idx")) <= span)
-        hits = hits.groupBy("doc_id", "word_idx").agg(F.count("*").alias("n_near")).withColumn("word", F.lit(one)).withColumn("other", F.lit(other))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """Words of confusion pairs with the other one within `span` words: an equi-join on document, pair and blocks of positions.
+
+    Texts are read once, whatever the number of pairs; only words of pairs leave them."""
+    block = F.floor(F.col("word_idx") / (span + 1))
+    mine = lambda side: F.array_compact(F.array(*[F.when(F.col("token_lc") == p[side], F.struct(F.lit(p[0]).alias("word"), F.lit(p[1]).alias("other"))) for p in pairs]))
+    toks = written(tables.tokens(docs).filter(F.col("token_lc").isin(sorted({w for p in pairs for w in p}))).select("doc_id", "word_idx", "token_lc"))
+    left = toks.select("doc_id", "word_idx", F.explode(mine(0)).alias("p")).select("doc_id", "word_idx", "p.*", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = toks.select("doc_id", "word_idx", F.explode(mine(1)).alias("p")).select("doc_id", F.col("word_idx").alias("o_idx"), "p.*", block.alias("block"))
+    near = by_merge(left).join(right, ["doc_id", "word", "other", "block"]).filter(F.abs(F.col("word_idx") - F.col("o_idx")) <= span)
+    return near.groupBy("doc_id", "word_idx", "word", "other").agg(F.count("*").alias("n_near")).select("doc_id", "word_idx", "n_near", "word", "other")
 
 
 def classify_documents(docs: DataFrame, lexicons: dict[str, tuple[str, ...]]) -> DataFrame:

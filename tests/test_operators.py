@@ -161,3 +161,13 @@ def test_span_folds_hold_one_island(spark):
     out = corrections.without_overlaps(spark.createDataFrame(rows, "doc_id long, start long, stop long"))
     assert sorted((r.start, r.stop) for r in out.collect()) == kept
     assert "island" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_confused_words_reads_texts_once_whatever_the_pairs(spark, tmp_path):
+    from fabula.operators import style
+
+    spark.createDataFrame([(1, "Haya o halla, ver y haber; " + "nada " * 20 + "haya"), (2, "halla"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    pairs = (("halla", "haya"), ("haber", "ver"), ("haya", "ver"))
+    found = style.confused_words(spark.read.parquet(f"{tmp_path}/d"), pairs)
+    assert "token_lc" not in str(found.columns) and f"{tmp_path}/d" not in found._jdf.queryExecution().executedPlan().toString().replace("\n", "")
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, "haya", "ver"), (1, 2, 1, "halla", "haya"), (1, 5, 1, "haber", "ver")]

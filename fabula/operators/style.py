@@ -85,16 +85,16 @@ def sensory_report(docs: DataFrame, senses: dict[str, tuple[str, ...]] = L.SENSE
     return counts.select("doc_id", *senses, F.round(total * 1000 / F.size("ws"), 6).alias("per_1000"), F.round(balance, 6).alias("balance"))
 
 
-def _count_in(ws: Column, lexicon: tuple[str, ...]) -> Column:
-    return F.size(F.filter(ws, lambda w: w.isin(list(lexicon)))).cast("long")
+def _count_in(low: Column, lexicon: tuple[str, ...]) -> Column:
+    """How many words of a text in lower case are in the lexicon: whole runs of letters, counted in one pass, without an array of all words."""
+    return F.regexp_count(low, F.lit(f"(?<![{T.LETTERS}])(?:{'|'.join(lexicon)})(?![{T.LETTERS}])")).cast("long")
 
 
 def point_of_view(docs: DataFrame) -> DataFrame:
     """Each narrative paragraph's dominant person, where it has two markers or more, and whether it shifts."""
     paras = tables.paragraphs(docs).filter(~F.col("text").rlike('^\\s*[—«“"-]'))
-    ws = T.word_list(F.lower("text"))
-    c = paras.select("doc_id", "para_idx", ws.alias("ws")).select(
-        "doc_id", "para_idx", _count_in(F.col("ws"), L.FIRST_PERSON).alias("first"), _count_in(F.col("ws"), L.SECOND_PERSON).alias("second"), _count_in(F.col("ws"), L.THIRD_PERSON).alias("third"))
+    low = F.lower("text")
+    c = paras.select("doc_id", "para_idx", _count_in(low, L.FIRST_PERSON).alias("first"), _count_in(low, L.SECOND_PERSON).alias("second"), _count_in(low, L.THIRD_PERSON).alias("third"))
     top = F.greatest("first", "second", "third")
     person = F.when(F.col("first") == top, "first").when(F.col("second") == top, "second").otherwise("third")
     c = c.filter(top >= 2).withColumn("person", person)
@@ -250,8 +250,8 @@ def confused_words(docs: DataFrame, pairs: tuple[tuple[str, str], ...] = L.CONFU
 
 def classify_documents(docs: DataFrame, lexicons: dict[str, tuple[str, ...]]) -> DataFrame:
     """The type whose lexicon a text hits most; unknown if its share is under .25 or it has under 3 hits."""
-    ws = T.word_list(F.lower("text"))
-    rows = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("type"), _count_in(ws, v).alias("score")) for k, v in lexicons.items()])).alias("s")).select("doc_id", "s.type", "s.score")
+    low = F.lower(T.empty_as(F.col("text")))
+    rows = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("type"), _count_in(low, v).alias("score")) for k, v in lexicons.items()])).alias("s")).select("doc_id", "s.type", "s.score")
     g = rows.groupBy("doc_id").agg(F.sum("score").alias("total"), F.max(F.struct("score", F.col("type"))).alias("best"))
     share = F.when(F.col("total") > 0, F.col("best.score") / F.col("total")).otherwise(0.0)
     known = (share >= 0.25) & (F.col("best.score") >= 3)

@@ -171,3 +171,12 @@ def test_confused_words_reads_texts_once_whatever_the_pairs(spark, tmp_path):
     found = style.confused_words(spark.read.parquet(f"{tmp_path}/d"), pairs)
     assert "token_lc" not in str(found.columns) and f"{tmp_path}/d" not in found._jdf.queryExecution().executedPlan().toString().replace("\n", "")
     assert sorted(tuple(r) for r in found.collect()) == [(1, 0, 1, "haya", "ver"), (1, 2, 1, "halla", "haya"), (1, 5, 1, "haber", "ver")]
+
+
+def test_words_of_a_lexicon_are_counted_without_an_array_of_all_words(spark):
+    from fabula.operators import style
+
+    docs = spark.createDataFrame([(1, "Él me vio; ME, me... mesa yo"), (2, None), (3, "nada")], "doc_id long, text string")
+    df = style.classify_documents(docs, {"a": ("me", "yo", "mesas"), "b": ("él",)})
+    assert {r.doc_id: (r.type, r.confidence) for r in df.collect()} == {1: ("a", 0.8), 2: ("unknown", 0.0), 3: ("unknown", 0.0)}
+    assert "split" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -73,16 +73,14 @@ def dialogue_density(docs: DataFrame) -> DataFrame:
 
 def sensory_report(docs: DataFrame, senses: dict[str, tuple[str, ...]] = L.SENSES) -> DataFrame:
     """Words of each sense: a keyword and up to three letters more. Balance is 1 - cv / 2 over the senses (population)."""
-    words = T.word_list(F.lower("text"))
-    counts = docs.select("doc_id", words.alias("ws")).filter(F.size("ws") > 0)
-    for sense, keys in senses.items():
-        pattern = "^(" + "|".join(keys) + f")[{T.LETTERS}]{{0,3}}$"
-        counts = counts.withColumn(sense, F.size(F.filter("ws", lambda w: w.rlike(pattern))).cast("long"))  # noqa: B023
+    low = F.lower(T.empty_as(F.col("text")))
+    each = {sense: _count_in(low, tuple(f"{k}[{T.LETTERS}]{{0,3}}" for k in keys)).alias(sense) for sense, keys in senses.items()}
+    counts = docs.select("doc_id", F.regexp_count(low, F.lit(f"[{T.LETTERS}]+")).alias("n_words"), *each.values()).filter("n_words > 0")
     total = sum((F.col(s) for s in senses), F.lit(0)).cast("long")
     mean = total / len(senses)
     spread = F.sqrt(sum((F.pow(F.col(s) - mean, 2) for s in senses), F.lit(0.0)) / len(senses))
     balance = F.when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - spread / mean / 2))
-    return counts.select("doc_id", *senses, F.round(total * 1000 / F.size("ws"), 6).alias("per_1000"), F.round(balance, 6).alias("balance"))
+    return counts.select("doc_id", *senses, F.round(total * 1000 / F.col("n_words"), 6).alias("per_1000"), F.round(balance, 6).alias("balance"))
 
 
 def _count_in(low: Column, lexicon: tuple[str, ...]) -> Column:

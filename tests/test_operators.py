@@ -180,3 +180,11 @@ def test_words_of_a_lexicon_are_counted_without_an_array_of_all_words(spark):
     df = style.classify_documents(docs, {"a": ("me", "yo", "mesas"), "b": ("él",)})
     assert {r.doc_id: (r.type, r.confidence) for r in df.collect()} == {1: ("a", 0.8), 2: ("unknown", 0.0), 3: ("unknown", 0.0)}
     assert "split" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sensory_words_are_counted_without_an_array_of_all_words(spark):
+    from fabula.operators import style
+
+    df = style.sensory_report(spark.createDataFrame([(1, "Luz, luces; xluz luzabcd"), (2, None), (3, "nada")], "doc_id long, text string"), {"sight": ("luz", "luc"), "touch": ("piel",)})
+    assert {r.doc_id: (r.sight, r.touch, r.per_1000) for r in df.collect()} == {1: (2, 0, 500.0), 3: (0, 0, 0.0)}
+    assert "split" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.operators.joins import broadcast_if_small
+from fabula.sources.shared import written
 
 CLOSED = ("dismissed", "resolved", "acknowledged")
 SEVERITIES = ("critical", "warning", "info", "hint")
@@ -136,9 +137,12 @@ def adaptive_weights(feedback: DataFrame, rate: float = 0.05) -> DataFrame:
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new alerts by content hash, then by type and chapter with a shared entity: matched or removed (new_id -1)."""
     o, n = content_hash(old).select("content_hash", "alert_type", "chapter", "entity_ids", F.col("alert_id").alias("old_id")), content_hash(new).select("content_hash", "alert_type", "chapter", "entity_ids", F.col("alert_id").alias("new_id"))
-    by_hash = o.join(n.select("content_hash", "new_id"), "content_hash").groupBy("old_id").agg(F.min("new_id").alias("new_id")).withColumn("how", F.lit("hash")).withColumn("score", F.lit(1.0))
-    rest = o.join(by_hash, "old_id", "left_anti").alias("o").join(n.join(by_hash, "new_id", "left_anti").alias("n"), F.expr("o.alert_type = n.alert_type and o.chapter = n.chapter and arrays_overlap(o.entity_ids, n.entity_ids)"))
-    by_entity = rest.groupBy("o.old_id").agg(F.min("n.new_id").alias("new_id")).withColumn("how", F.lit("entity")).withColumn("score", F.lit(0.8))
+    first = F.min("new_id").alias("new_id")
+    by_hash = written(o.join(n.groupBy("content_hash").agg(first), "content_hash").groupBy("old_id").agg(first)).withColumn("how", F.lit("hash")).withColumn("score", F.lit(1.0))
+    # only the least new alert of an entity counts, so one row of each type, chapter and entity is joined, however many alerts share these
+    by = lambda alerts, key: alerts.select("alert_type", "chapter", F.explode("entity_ids").alias("entity"), key)
+    least = by(n.join(by_hash, "new_id", "left_anti"), "new_id").groupBy("alert_type", "chapter", "entity").agg(first)
+    by_entity = written(by(o.join(by_hash, "old_id", "left_anti"), "old_id").join(least, ["alert_type", "chapter", "entity"]).groupBy("old_id").agg(first)).withColumn("how", F.lit("entity")).withColumn("score", F.lit(0.8))
     matched = by_hash.unionByName(by_entity)
     gone = o.join(matched, "old_id", "left_anti").select("old_id", F.lit(-1).cast("long").alias("new_id"), F.lit("removed").alias("how"), F.lit(0.5).alias("score"))
     return matched.unionByName(gone)

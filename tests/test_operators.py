@@ -188,3 +188,27 @@ def test_sensory_words_are_counted_without_an_array_of_all_words(spark):
     df = style.sensory_report(spark.createDataFrame([(1, "Luz, luces; xluz luzabcd"), (2, None), (3, "nada")], "doc_id long, text string"), {"sight": ("luz", "luc"), "touch": ("piel",)})
     assert {r.doc_id: (r.sight, r.touch, r.per_1000) for r in df.collect()} == {1: (2, 0, 500.0), 3: (0, 0, 0.0)}
     assert "split" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alert_diff_meets_alerts_by_entity_not_in_pairs(spark):
+    """Many alerts of one type and chapter: the results of comparing all pairs, but no join tests pairs for a shared entity."""
+    g = random.Random(4)
+    rows = [(i, 1, "t", g.choice([3, 3, 3, None]), [g.choice([g.randrange(60), None]), g.randrange(60)] if i % 9 else None, f"title {i}") for i in range(240)]
+    df = spark.createDataFrame(rows, "alert_id long, project_id long, alert_type string, chapter long, entity_ids array<long>, title string")
+    found = alerts.diff(df.filter("alert_id % 2 = 0"), df.filter("alert_id % 3 = 0"))
+    want = {}
+    new = [r for r in rows if r[0] % 3 == 0]
+    same = {r[0]: r[0] for r in new if r[0] % 2 == 0}
+    for old in (r for r in rows if r[0] % 2 == 0):
+        shared = [r[0] for r in new if r[0] not in same.values() and old[3] == r[3] == 3 and (set(old[4] or []) & set(r[4] or [])) - {None}]
+        want[old[0]] = (same[old[0]], "hash", 1.0) if old[0] in same else (min(shared), "entity", 0.8) if shared else (-1, "removed", 0.5)
+    assert {r.old_id: (r.new_id, r.how, r.score) for r in found.collect()} == want
+    assert {h for _, h, _ in want.values()} == {"hash", "entity", "removed"}
+    kept = []
+    overlap, alerts.F.arrays_overlap = alerts.F.arrays_overlap, lambda *a: kept.append(a)
+    expr, alerts.F.expr = alerts.F.expr, lambda e: kept.append(e) if "arrays_overlap" in e else expr(e)
+    try:
+        alerts.diff(df, df)
+    finally:
+        alerts.F.arrays_overlap, alerts.F.expr = overlap, expr
+    assert not kept

@@ -37,6 +37,20 @@ def test_modified_areas_equal_brute_force(spark):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_places_are_shuffled_once_to_changes_and_counted_there(spark):
+    p = spark.createDataFrame([(1, 1, 7, 400, 420), (1, 1, 7, 400, 420), (1, 2, 7, 400, 420)], "doc_id long, chapter long, entity_id long, start_char long, end_char long")
+    c = spark.createDataFrame([(1, 1, 610), (1, 1, 150), (1, 1, 151), (1, 1, 620)], "doc_id long, chapter long, at long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = editorial.in_modified_area(p, c)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in found.collect()] == [(1, 1, 7, 400, 420, 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_names_alike_equal_brute_force(spark):
     g = random.Random(2)
     names = ["".join(g.choice("abc") for _ in range(g.randrange(1, 9))) for _ in range(120)]

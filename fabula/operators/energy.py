@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fabula.functions import batches as B
 from fabula.functions import text as T
 from fabula.operators.temporal import located, located_sql
 from fabula.sources import tables
@@ -31,20 +37,33 @@ def sentence_energy(docs: DataFrame) -> DataFrame:
 
     voice: 30 in the passive, 45 in the reflexive passive, else 100. verb: 100, 70, 45 or 20 with none, one, two or more weak verbs. structure: 90 exclaimed, 85 asked, 60 left open, else 70,
     less 1.5 a word beyond 40 (30 at most, and not below 10), or 10 from 31 to 40 words (not below 30). energy is their weighted mean, less 5 for each nominalisation up to 15, not below 0."""
-    p, t = T.plain(F.col("text")), F.trim("text")
-    count = lambda pattern: F.regexp_count(p, F.lit(T.whole_words(pattern)))
-    has = lambda pattern: F.regexp_like(p, F.lit(T.whole_words(pattern)))
-    s = tables.sentences(docs).withColumn("n_words", F.size(T.word_list(F.col("text"))).cast("long")).filter(F.col("n_words") >= LEAST_WORDS)
-    weak = F.greatest(F.lit(0), count(WEAK) - count(STRONG))
+    t = F.trim("text")
     kind = F.when(F.endswith(t, F.lit("!")) | F.startswith(t, F.lit("¡")), 90.0).when(F.endswith(t, F.lit("?")) | F.startswith(t, F.lit("¿")), 85.0).when(F.endswith(t, F.lit("...")) | F.endswith(t, F.lit("…")), 60.0).otherwise(70.0)
-    scored = s.select(
-        "doc_id", "sent_idx", "n_words", F.when(has(PASSIVE), 30.0).when(has(REFLEXIVE), 45.0).otherwise(100.0).alias("voice"), F.when(weak == 0, 100.0).when(weak == 1, 70.0).when(weak == 2, 45.0).otherwise(20.0).alias("verb"),
-        _shortened(kind, F.col("n_words")).alias("structure"), F.least(count(NOMINALS) * NOMINAL, F.lit(MOST_NOMINAL)).alias("nominal"))
+    s = tables.sentences(docs).select("doc_id", "sent_idx", kind.alias("kind"), "text")
+    s = s.mapInArrow(_traits, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sent_idx long, kind double, n_words long, voice double, weak long, nominals long")
+    verb = F.when(F.col("weak") == 0, 100.0).when(F.col("weak") == 1, 70.0).when(F.col("weak") == 2, 45.0).otherwise(20.0)
+    scored = s.select("doc_id", "sent_idx", "n_words", "voice", verb.alias("verb"), _shortened(F.col("kind"), F.col("n_words")).alias("structure"), F.least(F.col("nominals") * NOMINAL, F.lit(MOST_NOMINAL)).alias("nominal"))
     energy = F.round(F.greatest(F.lit(0.0), F.col("voice") * VOICE + F.col("verb") * VERB + F.col("structure") * STRUCTURE - F.col("nominal")), 4)
     level = F.coalesce(*[F.when(F.col("energy") >= at, name) for at, name in LEVELS], F.lit("very_low"))
     return scored.withColumn("energy", energy).withColumn("level", level).drop("nominal")
 
 
+def _traits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sentences of at least LEAST_WORDS words with their words, voice, weak verbs and nominalisations. Each pattern reads a batch once, in time linear in it."""
+    word = lambda pattern: rf"\b(?:{pattern})\b"
+    for b in it:
+        n = B.word_counts(b.column("text"))
+        b = b.filter(pa.array(n >= LEAST_WORDS))
+        p = B.plain_array(b.column("text"))
+        count = lambda pattern: pc.count_substring_regex(p, word(pattern)).to_numpy(zero_copy_only=False).astype(np.int64)
+        has = lambda pattern: pc.match_substring_regex(p, word(pattern)).to_numpy(zero_copy_only=False)
+        voice = np.where(has(PASSIVE), 30.0, np.where(has(REFLEXIVE), 45.0, 100.0))
+        weak = np.maximum(0, count(WEAK) - count(STRONG))
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("sent_idx"), b.column("kind"), *map(pa.array, (n[n >= LEAST_WORDS], voice, weak, count(NOMINALS)))],
+            names=["doc_id", "sent_idx", "kind", "n_words", "voice", "weak", "nominals"])
+
+
 def _shortened(kind: Column, n: Column) -> Column:
     return F.when(n > 40, F.greatest(F.lit(10.0), kind - F.least((n - 40) * 1.5, F.lit(30.0)))).when(n > 30, F.greatest(F.lit(30.0), kind - 10.0)).otherwise(kind)
 

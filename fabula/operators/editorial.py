@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.functions import batches as B
 from fabula.functions import text as T
 from fabula.operators.corrections import scene_breaks
 from fabula.operators.story import ancestors
 from fabula.sources import tables
+from fabula.sources.shared import written
 
 
 def paragraph_to_text(places: DataFrame, docs: DataFrame) -> DataFrame:
@@ -227,8 +229,11 @@ def found_mentions(docs: DataFrame, least: int = 3) -> DataFrame:
 
     The longer name takes its words: pairs first, from left to right without overlap, then single words that no pair covers."""
     w = Window.partitionBy("doc_id").orderBy("word_idx")
-    cap = F.col("token").rlike("^[A-ZÁÉÍÓÚÑ][a-záéíóúüñ]+$")
-    t = tables.tokens(docs).select("doc_id", "word_idx", "token", cap.alias("cap")).withColumn("next", F.when(F.lead("cap").over(w), F.lead("token").over(w))).filter("cap")
+    cap = lambda word: F.col(word).rlike("^[A-ZÁÉÍÓÚÑ][a-záéíóúüñ]+$")
+    # each word beside the next one in the text's own row, so that only capitalised ones leave it, once
+    two = docs.select("doc_id", B.words("text").alias("ws")).select("doc_id", F.posexplode_outer(F.arrays_zip("ws", F.slice("ws", F.lit(2), F.size("ws")).alias("next"))).alias("word_idx", "z"))
+    t = two.filter("word_idx is not null").select("doc_id", F.col("word_idx").cast("long").alias("word_idx"), F.col("z.ws").alias("token"), F.col("z.next").alias("next")).filter(cap("token"))
+    t = written(t.withColumn("next", F.when(cap("next"), F.col("next"))))
     two = t.filter("next is not null").withColumn("name", F.concat_ws(" ", "token", "next"))
     two = two.join(two.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= least), "name").select("doc_id", "word_idx", "name")
     # of pairs that begin at neighbouring words, every other one stays

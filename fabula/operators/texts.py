@@ -28,16 +28,19 @@ def near_sentences(docs: DataFrame, threshold: float = 0.9, least_chars: int = 3
     """Different sentences of one document with word-set Jaccard of the threshold or more.
 
     Blocked by prefix filtering: sets that reach the threshold share one of their first |s| - ceil(t |s|) + 1 words in the order of
-    (rarity, word), so only sentences with a common rare word meet."""
-    s = tables.sentences(docs).filter(F.length("text") >= least_chars).select("doc_id", "sent_idx", F.array_distinct(T.word_list(F.lower("text"))).alias("ws")).filter(F.size("ws") > 0)
-    w = s.select("doc_id", "sent_idx", F.size("ws").alias("size"), F.explode("ws").alias("word"))
-    w = w.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "word")))
+    (rarity, hash), so only sentences with a common rare word meet. A text's words travel once, as hashes; words themselves are read again for the sentences that met."""
+    s = tables.sentences(docs).filter(F.length("text") >= least_chars).select("doc_id", "sent_idx", B.words(F.lower("text")).alias("ws"))
+    s = s.select("doc_id", "sent_idx", F.array_distinct("ws").alias("ws"))
+    w = s.select("doc_id", "sent_idx", F.size("ws").alias("size"), F.explode_outer("ws").alias("word")).filter("word is not null").select("doc_id", "sent_idx", "size", F.xxhash64("word").alias("word"))
+    w = w.repartition("doc_id").withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "word")))  # both windows stay where a text's words are
     rank = F.row_number().over(Window.partitionBy("doc_id", "sent_idx").orderBy("df", "word"))
-    prefix = w.withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    prefix = written(w.withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("doc_id", "sent_idx", "size", "word"))
     a, b = prefix.select("doc_id", F.col("sent_idx").alias("a"), F.col("size").alias("na"), "word"), prefix.select("doc_id", F.col("sent_idx").alias("b"), F.col("size").alias("nb"), "word")
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = a.join(b, ["doc_id", "word"]).filter(fits).select("doc_id", "a", "b").distinct()
-    left, right = s.select("doc_id", F.col("sent_idx").alias("a"), F.col("ws").alias("wa")), s.select("doc_id", F.col("sent_idx").alias("b"), F.col("ws").alias("wb"))
+    pairs = written(a.hint("merge").join(b, ["doc_id", "word"]).filter(fits).select("doc_id", "a", "b").distinct())
+    ends = pairs.select("doc_id", F.explode(F.array("a", "b")).alias("sent_idx")).distinct()
+    met = written(s.join(broadcast_if_small(written(ends)), ["doc_id", "sent_idx"], "left_semi"))
+    left, right = met.select("doc_id", F.col("sent_idx").alias("a"), F.col("ws").alias("wa")), met.select("doc_id", F.col("sent_idx").alias("b"), F.col("ws").alias("wb"))
     return pairs.join(left, ["doc_id", "a"]).join(right, ["doc_id", "b"]).select("doc_id", "a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 

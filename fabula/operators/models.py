@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
-from fabula.operators.joins import band_join
+from fabula.operators.joins import band_join, parts_for
 from fabula.operators.story import alike_names
+from fabula.sources.shared import written
 
 
+#: Arcs of a network that one task takes.
+ARCS = 1_000_000
 #: Patterns that one expression may combine.
 MOST_PATTERNS = 10_000
 
@@ -126,11 +129,18 @@ def importance(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
 def communities(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """Label propagation for a fixed number of rounds: each node takes the label with the most weight among its neighbours, the least label on ties.
 
-    Weights are summed per (node, label) by a partial aggregate; a hub costs one row for each label around it."""
-    arcs = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    labels = arcs.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    Weights are summed per (node, label) by a partial aggregate; a hub costs one row for each label around it. In the first round every label is a neighbour itself, so nothing is joined or summed.
+    Arcs are dealt into parts of about ARCS rows, so that what a task holds doesn't grow with the network."""
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")) if not rounds else None
+    one = written(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    arcs = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    parts = parts_for(arcs, ARCS)
     for _ in range(rounds):
-        around = arcs.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("w"))
-        labels = around.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"))
+        if labels is None:
+            around = arcs.select(F.col("a").alias("node"), F.col("b").alias("label"), "weight")
+        else:
+            around = arcs.repartition(parts, "b").join(labels.repartition(parts, "node"), F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label", "weight")
+        # both aggregates stay in the part of a node
+        w = around.repartition(parts, "node").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        labels = written(w.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")))
     return labels
-

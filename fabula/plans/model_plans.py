@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fabula.operators import corrections as C
 from fabula.operators import models as M
 from fabula.operators import story as S
+from fabula.operators.joins import parts_for
 from fabula.plans.catalog import query
 from fabula.plans.story_plans import EDGES, ENTITIES, MENTIONS, PAIRS, _entities, _mentions
 from fabula.plans.style_plans import TOK
@@ -159,5 +160,6 @@ def _propagated(rounds):
 
 @query(_propagated(3))
 def communities(spark, sf_dir):
-    edges = S.network(S.cooccurrences(_mentions(spark, sf_dir))).select("a", "b", F.col("n").alias("weight"))
+    mentions = _mentions(spark, sf_dir)
+    edges = S.network(S.cooccurrences(mentions), parts_for(mentions, S.MENTIONS)).select("a", "b", F.col("n").alias("weight"))
     return M.communities(edges)

@@ -77,5 +77,8 @@ def test_told_elsewhere_indexes_keywords_only(spark):
     found = spark.createDataFrame([(1, 2, 0, "past", "Recordaba la montaña y el puente viejo.")], "doc_id long, chapter long, sent_idx long, direction string, text string")
     told = structure.told_elsewhere(docs, found)
     assert [tuple(r) for r in told.collect()] == [(1, 2, 0, "past", 4, 1, 2)]
-    joined = _plan(told).split("Join", 2)[-1]
-    assert "array_except" in joined and "text#" not in _plan(told).split("Join", 1)[0]
+    index = structure._index(docs)  # words of one chapter stay in their row
+    assert [tuple(r) for r in index.orderBy("word").collect()] == [(1, "montaña", [1, 2]), (1, "puente", [1, 2])]
+    two = docs.unionByName(spark.createDataFrame([(1, "\n".join(["x"] * 10 + ["viejo y Puente, el puente"]))], docs.schema))
+    assert {r.word: sorted(r.others) for r in structure._index(two).collect()} == {"montaña": [1, 2], "puente": [1, 2, 3], "recordaba": [2], "viejo": [2, 3]}
+    assert structure._index(docs.filter("doc_id = 2")).isEmpty()

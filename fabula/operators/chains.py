@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions import text as T
@@ -17,13 +17,23 @@ TITLES = "(?:don|doña|señor|señora|doctor|doctora|the|el|la|le|les|der|die|da
 REACH = 300
 
 
-def links(docs: DataFrame, mentions: DataFrame, reach: int = REACH) -> DataFrame:
-    """doc_id, anaphor, antecedent (places of mentions), score: a pronoun links to the last name at most `reach` characters before it, the surer the nearer; a name to the last mention of its entity in the text."""
+def _node(place: Column) -> Column:
+    """The name of a place of a text among the nodes of all texts."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.lpad(place.cast("string"), 12, "0"))
+
+
+def _by_pronoun(docs: DataFrame, mentions: DataFrame, reach: int) -> DataFrame:
+    """doc_id, anaphor, name (start, entity_id), score of the pronouns that link back to a name."""
     pronouns = located(docs, PRONOUNS).select("doc_id", F.col("start").alias("at"))
     names = mentions.select("doc_id", F.col("start").alias("at"), F.struct("start", "entity_id").alias("name"))
     back = as_of(pronouns.withColumn("anaphor", F.col("at")), names, ["doc_id"], ["at"], "name")
     distance = F.col("anaphor") - F.col("name.start")
-    by_pronoun = back.filter(distance.between(1, reach)).select("doc_id", "anaphor", F.col("name.start").alias("antecedent"), (1 - distance / (2 * reach)).alias("score"))
+    return back.filter(distance.between(1, reach)).select("doc_id", "anaphor", "name", (1 - distance / (2 * reach)).alias("score"))
+
+
+def links(docs: DataFrame, mentions: DataFrame, reach: int = REACH) -> DataFrame:
+    """doc_id, anaphor, antecedent (places of mentions), score: a pronoun links to the last name at most `reach` characters before it, the surer the nearer; a name to the last mention of its entity in the text."""
+    by_pronoun = _by_pronoun(docs, mentions, reach).select("doc_id", "anaphor", F.col("name.start").alias("antecedent"), "score")
     w = Window.partitionBy("doc_id", "entity_id").orderBy("start")
     by_name = mentions.select("doc_id", F.col("start").alias("anaphor"), F.lag("start").over(w).alias("antecedent"), F.lit(1.0).alias("score")).filter("antecedent is not null")
     return by_pronoun.unionByName(by_name)
@@ -33,8 +43,7 @@ def build_chains(pairs: DataFrame, proper: DataFrame) -> DataFrame:
     """Chains of pairs (doc_id, anaphor, antecedent, score): doc_id, place, chain, root, confidence for each mention. proper: doc_id, place of proper nouns.
 
     A chain is a component; its root is its first proper noun, or where it has none its first mention; confidence is the mean score of its pairs."""
-    node = lambda c: F.concat_ws(":", F.col("doc_id").cast("string"), F.lpad(F.col(c).cast("string"), 12, "0"))
-    p = pairs.filter("anaphor is not null and antecedent is not null").select("doc_id", "anaphor", "antecedent", "score", node("anaphor").alias("a"), node("antecedent").alias("b"))
+    p = pairs.filter("anaphor is not null and antecedent is not null").select("doc_id", "anaphor", "antecedent", "score", _node(F.col("anaphor")).alias("a"), _node(F.col("antecedent")).alias("b"))
     found = components(p.select("a", "b"))
     place = F.substring_index("node", ":", -1).cast("long")
     members = found.select(F.substring_index("node", ":", 1).cast("long").alias("doc_id"), place.alias("place"), F.col("component").alias("chain"))
@@ -46,8 +55,21 @@ def build_chains(pairs: DataFrame, proper: DataFrame) -> DataFrame:
 
 
 def chains(docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """The coreference chains of texts from mentions (doc_id, entity_id, start, stop) and the pronouns between them."""
-    return build_chains(links(docs, mentions), mentions.select("doc_id", F.col("start").alias("place")))
+    """The coreference chains of texts from mentions (doc_id, entity_id, start, stop) and the pronouns between them: as `build_chains` has them from `links`.
+
+    Where no two mentions begin at one place, a chain is what belongs to one entity of a text: its mentions, each linked to the one before, and the pronouns linked to them. So its root is the entity's first mention,
+    and one window over a text's entities takes the place of the rounds that search for components."""
+    places = mentions.select("doc_id", "entity_id", F.col("start").cast("long").alias("place"))
+    if not places.groupBy("doc_id", "place").count().filter("count > 1").isEmpty():
+        return build_chains(links(docs, mentions), places.select("doc_id", "place"))
+    chain = Window.partitionBy("doc_id", "entity_id")
+    said = places.withColumn("score", F.lit(None).cast("double")).unionByName(_by_pronoun(docs, mentions, REACH).select("doc_id", "name.entity_id", F.col("anaphor").cast("long").alias("place"), "score"))
+    root, n = F.min("place").over(chain), F.count("*").over(chain)
+    # each mention but the first is a link of score 1
+    linked = F.sum(F.when(F.col("score").isNull(), 1).otherwise(0)).over(chain) - 1
+    sure = (linked + F.coalesce(F.sum("score").over(chain), F.lit(0.0))) / (n - 1)
+    c = said.filter("doc_id is not null and entity_id is not null").select("doc_id", "place", root.alias("root"), n.alias("n"), F.when(n > 1, sure).alias("confidence")).filter("n > 1")
+    return c.select("doc_id", "place", _node(F.col("root")).alias("chain"), "root", "n", "confidence")
 
 
 def found_aliases(docs: DataFrame, entities: DataFrame) -> DataFrame:

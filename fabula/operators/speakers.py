@@ -278,6 +278,7 @@ def attribute(dialogues: DataFrame, told: DataFrame | None = None, known: DataFr
 
 def speakers(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """Every dialogue span of texts with its speaker among entities (entity_id, name, aliases): doc_id, dlg_idx, start, stop, chapter, scene, verb, speaker_id, method, confidence."""
+    docs = written(docs.select("doc_id", "text").filter(F.regexp_like("text", F.lit(SPEECH))))  # other texts have no rows
     mentions = written(find_mentions(docs, entities))
     d = written(with_scenes(docs, named_by_verb(spans(docs), entities, mentions)))
     ready = written(with_nearby(d, mentions).withColumn("hint_id", F.lit(None).cast("long")))
